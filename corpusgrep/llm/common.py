@@ -60,7 +60,7 @@ class Stages:
 
 def partitions_for(df: DataFrame, mb: int = 16, least: int = 1) -> int:
     """Partitions of about mb MB by the optimizer's estimate of df's size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(100_000, -(-size // (mb << 20))))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrep.llm import sharding
+from corpusgrep.llm import sharding, token_files
 
-_MODULES = [sharding]
+_MODULES = [token_files, sharding]
 
 
 def queries() -> dict:
