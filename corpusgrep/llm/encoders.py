@@ -18,7 +18,7 @@ CACHED = 200_000
 CACHED_CHARS = 64
 
 _NOT_PLAIN = re.compile(r"[^\x20-\x7e\nÀ-ÖØ-öø-ÿ]")
-_LOWER = "a-zà-öø-ÿ"
+_LOWER = "a-zß-öø-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s{_LOWER}0-9]+")
 _BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")

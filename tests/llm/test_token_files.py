@@ -30,6 +30,7 @@ def test_cached_encoder_is_the_library(name, chunks):
     library, ours = Tokenizer.from_file(public_tokenizers.path(name)), CachedEncoder(public_tokenizers.path(name), chunks)
     rng = np.random.default_rng(0)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(list("ab' \n1.éÉD"), 60)) for _ in range(300)] + ["".join(rng.choice(list("ab' \n\t1.é́D"), 60)) for _ in range(300)]
+    texts += ["".join(rng.choice(list("abßÿàöøÀÖØÞ12\'!"), 30)) for _ in range(300)] + ["chbeß und ÿx"]
     texts += [" ".join("'" + c + "s x" + c for c in map(chr, range(32, 256)))]
     for t in texts:
         assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
