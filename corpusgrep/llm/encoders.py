@@ -75,12 +75,15 @@ class Cache(dict):
         if found is None:
             found = self.make(word)
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
+            self.trim()
             self[word] = found
         return found
 
+    def trim(self) -> None:
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+
 
 class CachedEncoder:
     """Little-endian unsigned 32-bit ids of whole texts, as the library encodes them without special tokens."""
