@@ -21,9 +21,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import slices
-from corpusgrep.llm.encoders import CACHED_CHARS, Cache, byte_letters, byte_words, load, plain, standins
+from corpusgrep.llm.encoders import CACHED_CHARS, Cache, byte_letters, byte_words, load, plain
 
 _NEVER = np.int64(1) << 62
+#: Longest word, in bytes, that the vectorised steps take; others go one by one.
+_WIDTH = 32
+
+
+class _Table:
+    """Open-addressed map from 64-bit keys to non-negative numbers, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+        keys, values = keys.astype(np.uint64), values.astype(np.int64)
+        slots, self.probes = self._slot(keys), 0
+        while len(keys):
+            free = np.flatnonzero(self.values[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            self.keys[taken], self.values[taken] = keys[free[first]], values[free[first]]
+            rest = np.ones(len(keys), bool)
+            rest[free[first]] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 for unknown keys."""
+        keys = keys.astype(np.uint64)
+        slots = self._slot(keys)
+        out = np.where(self.keys[slots] == keys, self.values[slots], -1)
+        open_ = np.flatnonzero((out < 0) & (self.values[slots] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at = (slots[open_] + 1) & ((1 << self.bits) - 1)
+            slots[open_] = at
+            same = self.keys[at] == keys[open_]
+            out[open_[same]] = self.values[at[same]]
+            open_ = open_[~same & (self.values[at] >= 0)]
+        return out
+
+
+_PRIME = np.uint64(0x100000001B3)
 
 
 class BpeCodec:
@@ -46,23 +88,34 @@ class BpeCodec:
         self.rank[made[order]], self.left[made[order]], self.right[made[order]] = order, left[order], right[order]
         if (self.rank[left] >= np.arange(len(merges))).any() or (self.rank[right] >= np.arange(len(merges))).any():
             raise ValueError("a merge comes before those of its parts")
-        keys = left << 32 | right
-        by_key = np.argsort(keys)
-        self.keys, self.key_rank = keys[by_key], by_key.astype(np.int64)
+        self.ranks, self.made = _Table(left << 32 | right, np.arange(len(merges))), made
         self.pairs = {(a, b): (r, m) for r, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))}
-        self.longest: dict[str, int] = {}
-        for token in self.vocab:
-            if token not in self.special:
-                self.longest[token[0]] = max(self.longest.get(token[0], 0), len(token))
         self.own = self._own()
         #: Bytes of each token, for decoding; a special token stands for its text.
-        letters = {c: b for b, c in byte_letters().items()}
+        self.letters = {c: b for b, c in byte_letters().items()}
         self.bytes = [b""] * size
         for token, i in self.vocab.items():
-            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            self.bytes[i] = self._raw(token) if all(c in self.letters for c in token) else token.encode()
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.known = Cache(lambda word: self.encode_words([standins(word)])[0])
+        own = {self.bytes[i]: i for token, i in self.vocab.items() if token not in self.special}
+        self.by_bytes = own
+        self.base = np.array([own[bytes([b])] for b in range(256)], np.int64)
+        self.longest = [0] * 256
+        for token in own:
+            self.longest[token[0]] = max(self.longest[token[0]], len(token))
+        short = [t for t in own if len(t) <= _WIDTH]
+        hashes = np.zeros(len(short), np.uint64)
+        for k, token in enumerate(short):
+            h = 0
+            for b in token:
+                h = (h * int(_PRIME) + b + 1) & 0xFFFFFFFFFFFFFFFF
+            hashes[k] = h
+        self.tokens = _Table(hashes, np.array([own[t] for t in short]))
+        self.known = Cache(lambda word: self.encode_words([word.encode()])[0])
+
+    def _raw(self, standins: str) -> bytes:
+        return bytes(self.letters[c] for c in standins)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether each pair stays apart: merges are undone from the last on, and at no time may one
@@ -75,9 +128,8 @@ class BpeCodec:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         limit = np.full(len(a), _NEVER) if limit is None else np.array(limit, np.int64)
         while len(at):
-            key = a << 32 | b
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            across = np.where(self.keys[place] == key, 3 * self.key_rank[place] + 1, _NEVER)
+            rank = self.ranks.get(a << 32 | b)
+            across = np.where(rank >= 0, 3 * rank + 1, _NEVER)
             apart = across >= limit
             apart |= across == _NEVER
             ok[at[~apart]] = False
@@ -99,20 +151,77 @@ class BpeCodec:
             fits[i] &= fits[self.left[i]] & fits[self.right[i]]
         return fits
 
-    def propose(self, word: str) -> list[int]:
+    def propose(self, word: bytes) -> list[int]:
         """Longest match from the left."""
-        found, at, n, vocab = [], 0, len(word), self.vocab
+        found, at, n, tokens = [], 0, len(word), self.by_bytes
         while at < n:
             to = min(n, at + self.longest[word[at]])
-            while (token := vocab.get(word[at:to])) is None:
+            while (token := tokens.get(word[at:to])) is None:
                 to -= 1
             found.append(token)
             at = to
         return found
 
-    def merge(self, word: str) -> list[int]:
+    def _propose_all(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, owners) of longest matches, all words at once: the longest token at every byte, then jumps."""
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(data))
+        token, length = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        at, hashes = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        limit = np.array(self.longest)[data]
+        for n in range(1, _WIDTH + 1):
+            on = (left[at] >= n) & (limit[at] >= n)
+            at, hashes = at[on], hashes[on]
+            if not len(at):
+                break
+            hashes = hashes * _PRIME + data[at + n - 1] + np.uint64(1)
+            found = self.tokens.get(hashes)
+            hit = at[found >= 0]
+            token[hit], length[hit] = found[found >= 0], n
+        ids, owners, now, ends = [], [], starts.copy(), starts + sizes
+        on = np.flatnonzero(now < ends)
+        while len(on):
+            ids.append(token[now[on]])
+            owners.append(on)
+            now[on] += length[now[on]]
+            on = on[now[on] < ends[on]]
+        ids, owners = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *owners])
+        order = np.argsort(owners, kind="stable")
+        return ids[order], owners[order]
+
+    def _merge_all(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words, a row each: one merge of every word that still has one at a time."""
+        n, width = ids.shape
+        sizes, rows = sizes.copy(), np.arange(n)
+        ranks = np.full((n, width), _NEVER)
+        inside = np.arange(1, width)[None, :] < sizes[:, None]
+        found = self.ranks.get((ids[:, :-1] << 32 | ids[:, 1:])[inside])
+        ranks[:, :-1][inside] = np.where(found >= 0, found, _NEVER)
+        while len(rows):
+            at = ranks[rows].argmin(1)
+            best = ranks[rows, at]
+            on = best < _NEVER
+            rows, at, best = rows[on], at[on], best[on]
+            if not len(rows):
+                break
+            take = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
+            some, some_ranks = ids[rows], ranks[rows]
+            pad = np.full((len(rows), 1), -1, np.int64)
+            some = np.take_along_axis(np.concatenate([some, pad], 1), take, 1)
+            some_ranks = np.take_along_axis(np.concatenate([some_ranks, pad + 1 + _NEVER], 1), take, 1)
+            some[np.arange(len(rows)), at] = self.made[best]
+            sizes[rows] -= 1
+            for first in (at - 1, at):
+                real = np.flatnonzero((first >= 0) & (first + 1 < sizes[rows]))
+                found = self.ranks.get(some[real, first[real]] << 32 | some[real, first[real] + 1])
+                some_ranks[real, first[real]] = np.where(found >= 0, found, _NEVER)
+            last = np.flatnonzero(at + 1 >= sizes[rows])
+            some_ranks[last, at[last]] = _NEVER
+            ids[rows], ranks[rows] = some, some_ranks
+        return ids, sizes
+
+    def merge(self, word: bytes) -> list[int]:
         """Exact: the pair of least rank first, of equal ones the leftmost; n log n."""
-        ids = [self.vocab[c] for c in word]
+        ids = self.base[list(word)].tolist()
         after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
         pairs = self.pairs
         heap = [(pairs[p][0], i) for i in range(len(ids) - 1) if (p := (ids[i], ids[i + 1])) in pairs]
@@ -132,34 +241,63 @@ class BpeCodec:
                 heapq.heappush(heap, (found[0], before[i]))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of words written in stand-ins."""
-        proposed = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(words))
-        flat = np.fromiter((x for p in proposed for x in p), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        wrong = np.zeros(len(words), bool)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of words."""
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for k, w in enumerate(words):
+            if len(w) <= _WIDTH:
+                short.append(k)
+            else:
+                out[k] = self._one(w)
+        if not short:
+            return out
+        sizes = np.array([len(words[k]) for k in short], np.int64)
+        data = np.frombuffer(b"".join([words[k] for k in short]), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        flat, owner = self._propose_all(data, starts, sizes)
+        wrong = np.zeros(len(short), bool)
         wrong[owner[~self.own[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
         fits = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         wrong[owner[inside[~fits[which]]]] = True
-        out = flat.astype("<u4")
-        ends = np.cumsum(sizes)
-        return [np.array(self.merge(w), "<u4").tobytes() if bad else out[e - s:e].tobytes()
-                for w, bad, e, s in zip(words, wrong.tolist(), ends.tolist(), sizes.tolist(), strict=True)]
+        ends = np.searchsorted(owner, np.arange(len(short)), "right").tolist()
+        raw, begin = flat.astype("<u4").tobytes(), 0
+        for k, end in zip(short, ends, strict=True):
+            out[k] = raw[4 * begin:4 * end]
+            begin = end
+        again = np.flatnonzero(wrong)
+        for part in np.array_split(again, max(1, len(again) >> 14)):
+            width = int(sizes[part].max(initial=0))
+            cells = np.arange(width)[None, :] < sizes[part][:, None]
+            ids = np.full((len(part), width), -1, np.int64)
+            ids[cells] = self.base[data[(starts[part][:, None] + np.arange(width)[None, :])[cells]]]
+            ids, counts = self._merge_all(ids, sizes[part])
+            ids = ids.astype("<u4")
+            for row, (k, count) in enumerate(zip(part.tolist(), counts.tolist(), strict=True)):
+                out[short[k]] = ids[row, :count].tobytes()
+        return out
+
+    def _one(self, word: bytes) -> bytes:
+        ids = np.array(self.propose(word), np.int64)
+        if not (self.own[ids].all() and self.compatible(ids[:-1], ids[1:]).all()):
+            ids = np.array(self.merge(word))
+        return ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; None counts as empty."""
         words = [byte_words(t) if t and plain(t, tuple(self.special)) else None for t in texts]
         known, older = self.known, self.known.older
-        new = list({w for ws in words if ws for w in ws if w not in known and w not in older})
-        fresh = dict(zip(new, self.encode_words([standins(w) for w in new]), strict=True))
-        for w, ids in fresh.items():
-            if len(w) <= CACHED_CHARS:
-                known[w] = ids
-        look = lambda w: fresh[w] if w in fresh else known[w]
-        out = [b"".join(map(look, ws)) if ws else b"" if not t else self._other(t) for t, ws in zip(texts, words, strict=True)]
+        missing = list({w for ws in words if ws for w in ws}.difference(known))
+        again = [w for w in missing if w in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = [w for w in missing if w not in older]
+        known.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) if ws else b"" if not t else self._other(t) for t, ws in zip(texts, words, strict=True)]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del known[w]
         known.trim()
         return out
 
@@ -169,7 +307,7 @@ class BpeCodec:
             if part in self.special:
                 parts.append(np.array([self.special[part]], "<u4").tobytes())
             elif part:
-                parts += self.encode_words([w for w, _ in self.pre_tokenizer.pre_tokenize_str(part)])
+                parts += self.encode_words([self._raw(w) for w, _ in self.pre_tokenizer.pre_tokenize_str(part)])
         return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> str:
