@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrep.llm import bpe, sharding, token_files
+from corpusgrep.llm import bpe, packing, sharding, token_files
 
-_MODULES = [token_files, bpe, sharding]
+_MODULES = [token_files, packing, bpe, sharding]
 
 
 def queries() -> dict:
