@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrep.llm import bpe, packing, quality, sharding, token_files
+from corpusgrep.llm import bpe, minhash, packing, quality, sharding, token_files
 
-_MODULES = [token_files, packing, bpe, quality, sharding]
+_MODULES = [token_files, minhash, packing, bpe, quality, sharding]
 
 
 def queries() -> dict:
