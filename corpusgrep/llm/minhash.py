@@ -211,7 +211,7 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op3_minhash_near_duplicates": op3_minhash_near_duplicates}
 ORACLES = {"op3_minhash_near_duplicates": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS l
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, md5_number(array_to_string(l[i:i + 4], ' ')) AS g
