@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrep.llm import bpe, minhash, packing, quality, sharding, suffix_dedup, token_files
+from corpusgrep.llm import bpe, minhash, nearest, packing, quality, sharding, suffix_dedup, token_files
 
-_MODULES = [token_files, suffix_dedup, minhash, packing, bpe, quality, sharding]
+_MODULES = [token_files, suffix_dedup, minhash, packing, bpe, nearest, quality, sharding]
 
 
 def queries() -> dict:
