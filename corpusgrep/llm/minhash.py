@@ -7,10 +7,11 @@ of 0.75 or more are joined to components.
 
 Buckets can be large, so their pairs are never listed.  First every member is
 compared with one pivot of its bucket, which links nearly all of a group of
-near copies at once.  Members that are still in another component than most
-of their bucket are compared with all of it, since any of those pairs could
-be the one link between two components.  Pairs inside a component can't
-change it and aren't needed.
+near copies at once.  Where a bucket still has several components, any pair of
+members from different ones could be the one link between them, so all such
+pairs are compared: the bucket is cut into blocks of bounded size, a task gets
+two blocks, compares inside them, and returns no more links than join its
+members.  Pairs inside a component can't change it and aren't needed.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PERMUTATIONS = BANDS * ROWS
 LEAST_EQUAL = 70
 PERCENT = 75
 _CHUNK = 2048
+#: Members of a block; a task compares two of them.
+BLOCK = 1024
 
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -122,6 +125,52 @@ def _similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(on, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
+def _links_of_tile(tile: pa.Table) -> pa.Table:
+    """Links on full sets between members of different components, as few as join them.
+
+    Pairs that share an earlier band are left to that bucket.
+    """
+    band = tile["band"][0].as_py()
+    nodes, roots = tile["node"].to_pylist(), tile["root"].to_pylist()
+    marks = np.frombuffer(b"".join(tile["s"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+    bands = np.ascontiguousarray(marks[:, : ROWS * band]).reshape(len(nodes), band, ROWS)
+    unpack = zstandard.ZstdDecompressor()
+    sets: list[np.ndarray | None] = [None] * len(nodes)
+
+    def shingles(i: int) -> np.ndarray:
+        if sets[i] is None:
+            sets[i] = shingle_sets(pa.array([unpack.decompress(tile["z"][i].as_py())], pa.binary()))[0]
+        return sets[i]
+
+    counts, block = tile["n"].to_numpy(), tile["block"].to_numpy()
+    ids = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    group = np.array([ids[r] for r in roots])
+    across = len(set(block.tolist())) > 1
+    out: tuple[list, list] = ([], [])
+    for i in np.argsort(np.bincount(group)[group], kind="stable").tolist():  # members of small components first
+        others = group != group[i]
+        if across:
+            others &= block != block[i]
+        at = np.flatnonzero(others)
+        at = at[(np.minimum(counts[at], counts[i]) * 100 >= PERCENT * np.maximum(counts[at], counts[i]))]
+        at = at[(marks[at] == marks[i]).sum(1) >= LEAST_EQUAL]
+        if band and len(at):
+            at = at[~(bands[at] == bands[i]).all(2).any(1)]
+        if not len(at):
+            continue
+        parts = [shingles(j) for j in at.tolist()]
+        sizes = np.array([len(x) for x in parts])
+        flat, own = np.concatenate(parts), shingles(i)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        for j in at[100 * both >= PERCENT * (sizes + len(own) - both)].tolist():
+            if group[j] != group[i]:
+                out[0].append(nodes[i])
+                out[1].append(nodes[j])
+                group[group == group[j]] = group[i]
+    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+
 class NearDuplicates:
     """The steps, each on written tables."""
 
@@ -137,13 +186,13 @@ class NearDuplicates:
             F.min(F.struct("doc_id", "h")).alias("one"), F.first("n_shingles").alias("n"), F.first("signature").alias("s"))
         classes = stages.write(classes, "classes")
         bands = F.array(*(F.xxhash64(F.lit(i), F.substring("s", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
-        members = classes.select("node", F.explode(bands).alias("bucket"))
-        shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-        members = stages.write(members.join(shared.select("bucket", "pivot"), "bucket"), "members")
+        members = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
+        shared = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
+        members = stages.write(members.join(shared, ["band", "bucket"]), "members")
         self._gather_texts(members.select("node").distinct(), classes)
         links = self._confirm(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), classes, "star")
         roots = components(stages, links, "first")
-        rest = self._confirm(self._between(members, roots), classes, "rest")
+        rest = self._between(members, roots, classes)
         return components(stages, roots.unionByName(rest), "all").select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def _gather_texts(self, nodes: DataFrame, classes: DataFrame) -> None:
@@ -159,17 +208,21 @@ class NearDuplicates:
         found = packed.join(wanted, packed["doc_id"].eqNullSafe(wanted["k"]) & (packed["h"] == wanted["g"]))
         self.texts = self.stages.write(found.dropDuplicates(["node"]).select("node", "z"), "texts")
 
-    def _between(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of one bucket but of different components, one of them not in the bucket's largest."""
+    def _between(self, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links between the components that still share a bucket."""
         placed = members.join(roots.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        open_ = self.stages.write(placed.join(split, "bucket"), "open")
-        most = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).getField("root").alias("most"))
-        odd = open_.join(most, "bucket").where("root != most").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), "most")
-        other = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        # Between two odd members the lesser root comes first; the largest component comes second.
-        return odd.join(other, "bucket").where("ra != rb and (rb = most or ra < rb)").select("a", "b")
+            "band", "bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+        split = placed.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "bucket")
+        open_ = self.stages.write(placed.join(split, ["band", "bucket"]), "open")
+        nodes = classes.join(open_.select("node").distinct(), "node", "left_semi").join(self.texts, "node").select("node", "n", "s", "z")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # A block meets every other block, and itself: tile (i, i) compares inside the block.
+        tiles = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+        full = tiles.join(nodes, "node")
+        links = full.groupBy("band", "bucket", "i", "j").applyInArrow(_links_of_tile, "a binary, b binary")
+        return self.stages.write(links, "rest")
 
     def _confirm(self, pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
         """The pairs whose full sets are similar enough."""

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from corpusgrep.llm import minhash
 from corpusgrep.llm.common import Stages
 from corpusgrep.llm.components import components
 from corpusgrep.llm.minhash import near_duplicates
@@ -47,8 +48,9 @@ def make(seed, bases=12, copies=9):
     return texts + ["", None, " \n", "One two", "one  TWO", "one two three four five", "one two three four", "é É é É é É", "é é é é é é"] + ["hot copy of a text here"] * 60
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed,block", [(0, 1024), (1, 3)])
+def test_against_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = make(seed)
     rows = [(int(k), t) for k, t in zip(np.random.default_rng(seed).permutation(len(texts)), texts, strict=True)] + [(None, "alone in here"), (None, texts[0]), (7, "dup row"), (7, "dup row")]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA)
