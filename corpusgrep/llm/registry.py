@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrep.llm import bpe, minhash, nearest, packing, pii, quality, sharding, suffix_dedup, token_files
+from corpusgrep.llm import bpe, minhash, nearest, packing, pii, quality, sharding, suffix_dedup, token_files, toxicity
 
-_MODULES = [token_files, suffix_dedup, minhash, pii, packing, bpe, nearest, quality, sharding]
+_MODULES = [token_files, suffix_dedup, minhash, pii, packing, bpe, toxicity, nearest, quality, sharding]
 
 
 def queries() -> dict:
