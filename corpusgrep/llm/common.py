@@ -47,8 +47,18 @@ class Stages:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Write df as Parquet and read it back.
+
+        Meanwhile adaptive execution joins small partitions up to its advisory size, so that a small
+        stage makes few tasks and files.
+        """
+        conf, name_ = self.spark.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = conf.get(name_)
+        conf.set(name_, "false")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(name_, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
