@@ -238,6 +238,18 @@ class NearDuplicates:
         return self.stages.write(texts.mapInArrow(_similar_sets, "a binary, b binary"), f"{label}-links")
 
 
+def _decide(work: NearDuplicates) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, kept) of every row."""
+    roots = work.find()
+    least = work.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+    placed = work.stages.write(least.select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
+    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = placed.join(of_root, "root").select("node", "component_id")
+    out = work.rows.select("doc_id", "h", "n_shingles", "node").join(labels, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def near_duplicates(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -246,15 +258,21 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, key: str = "doc_i
     than all others: such a row is kept if its component has no id.  Rows with one id and one text
     are one document; an empty table gives an empty result.
     """
+    return _decide(NearDuplicates(spark, documents, key, text)).drop("h")
+
+
+def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents without the rows that near_duplicates doesn't keep, and one of the rows that share id and text."""
     work = NearDuplicates(spark, documents, key, text)
-    roots = work.find()
-    least = work.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
-    placed = work.stages.write(least.select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
-    of_root = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(of_root, "root").select("node", "component_id")
-    out = work.rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    decided = work.stages.write(_decide(work).select("doc_id", "h", "kept"), "decided")
+    gone = decided.where("not kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__g")).distinct()
+    same = lambda other: F.col(key).cast("long").eqNullSafe(other["__d"]) & (F.col("__h") == other["__g"])
+    kept = documents.withColumn("__h", F.xxhash64(text)).join(gone, same(gone), "left_anti")
+    again = decided.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"))
+    if again.isEmpty():
+        return kept.drop("__h")
+    one = kept.join(again, same(again), "left_semi").dropDuplicates([key, "__h"])
+    return kept.join(again, same(again), "left_anti").unionByName(one).drop("__h")
 
 
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

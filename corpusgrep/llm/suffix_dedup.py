@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import Stages, slices
@@ -65,7 +65,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     run, so that the run may repeat itself.
     """
     found = []
-    step = BLOCK if len(data) > 2 * BLOCK else len(data)
+    step = BLOCK if len(data) > 2 * BLOCK else max(1, len(data))
     for low in range(0, max(1, len(data) - WIDTH + 1), step):
         part = data[low:min(len(data), low + step + WIDTH - 1)]
         if len(part) < WIDTH:
@@ -263,6 +263,18 @@ def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     return done.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "__kept", "__n_bytes", "__n_removed", "__n_spans")
 
 
+def whole_characters(kept: Column) -> Column:
+    """Text of UTF-8 bytes from which strings were cut: bytes that are no whole character any more are left out.
+
+    The bytes are read as Latin-1, where whole characters are runs that a pattern finds.
+    """
+    view = F.decode(kept, "ISO-8859-1")
+    whole = ("([\\x00-\\x7F]+|[\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|\\xED[\\x80-\\x9F][\\x80-\\xBF]"
+             "|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2})|[\\x80-\\xFF]")
+    cleaned = F.encode(F.regexp_replace(view, whole, "$1"), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(cleaned)
+
+
 def op2_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(spark, documents).select(
