@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def view(content: Column | str) -> Column:
     """The bytes of a string or binary column as one character each."""
     col = F.col(content) if isinstance(content, str) else content
-    return F.decode(col.cast("binary"), F.lit("ISO-8859-1"))
+    return F.decode(col.cast("binary"), "ISO-8859-1")
 
 
 def back(col: Column) -> Column:
     """Text whose UTF-8 bytes are the characters of a Latin-1 view."""
-    return F.encode(col, F.lit("ISO-8859-1")).cast("string")
+    return F.encode(col, "ISO-8859-1").cast("string")
 
 
 def literal(text: str) -> str:
