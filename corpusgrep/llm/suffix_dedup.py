@@ -196,7 +196,7 @@ class RepeatedStrings:
         once = matched.join(contents.where("c = 1").select("v", "h"), ["v", "h"], "left_semi")
         placed = some.select("doc_id", "k", "v", "h", "start").join(whole.unionByName(once), ["v", "h"])
         spans = placed.select("doc_id", "k", "start", "spans").distinct()
-        return stages.write(spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "spans")).alias("starts")), "spans")
+        return spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "spans")).alias("starts"))
 
     def _pieces(self, wanted: DataFrame) -> DataFrame:
         """The bytes of one run of each content."""
@@ -211,15 +211,14 @@ class RepeatedStrings:
         many = pieces.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("v")
         few = pieces.join(many, "v", "left_anti")
         tasks = max(1, -(-pieces.count() // PIECES))
-        out = few.repartition(tasks, "v").mapInArrow(_match, "v long, h long, spans array<int>")
-        out = self.stages.write(out, "matched")
+        out = few.repartition(tasks, "v").mapInArrow(_match, "v long, h long, spans array<int>")  # read once, so not written
         if many.isEmpty():
             return out
         each = self.stages.write(pieces.join(many, "v", "left_semi").mapInArrow(_strings, "v long, h long, at int, x long, y long"), "each")
         often = each.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
         starts = each.join(often, ["x", "y"], "left_semi")
         lists = starts.groupBy("v", "h").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
-        return out.unionByName(self.stages.write(lists, "lists"))
+        return out.unionByName(lists)
 
 
 def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
