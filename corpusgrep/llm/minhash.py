@@ -190,7 +190,7 @@ class NearDuplicates:
         shared = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
         members = stages.write(members.join(shared, ["band", "bucket"]), "members")
         self._gather_texts(members.select("node").distinct(), classes)
-        links = self._confirm(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), classes, "star")
+        links = self._confirm(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), classes)
         roots = components(stages, links, "first")
         rest = self._between(members, roots, classes)
         return components(stages, roots.unionByName(rest), "all").select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -221,10 +221,9 @@ class NearDuplicates:
         tiles = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
         full = tiles.join(nodes, "node")
-        links = full.groupBy("band", "bucket", "i", "j").applyInArrow(_links_of_tile, "a binary, b binary")
-        return self.stages.write(links, "rest")
+        return full.groupBy("band", "bucket", "i", "j").applyInArrow(_links_of_tile, "a binary, b binary")
 
-    def _confirm(self, pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    def _confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         marks = classes.select("node", "n", "s")
@@ -232,10 +231,9 @@ class NearDuplicates:
             marks.withColumnsRenamed({"node": "b", "n": "nb", "s": "sb"}), "b")
         near = joined.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b", "sa", "sb").mapInArrow(
             _similar_signatures, "a binary, b binary")
-        near = self.stages.write(near, f"{label}-near")
         texts = near.join(self.texts.withColumnsRenamed({"node": "a", "z": "za"}), "a").join(
             self.texts.withColumnsRenamed({"node": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
-        return self.stages.write(texts.mapInArrow(_similar_sets, "a binary, b binary"), f"{label}-links")
+        return texts.mapInArrow(_similar_sets, "a binary, b binary")
 
 
 def _decide(work: NearDuplicates) -> DataFrame:
