@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import slices
-from corpusgrep.llm.encoders import CACHED_CHARS, Cache, byte_letters, byte_words, load, plain
+from corpusgrep.llm.encoders import CACHED_CHARS, PART, Cache, byte_letters, byte_words, load, parts, plain
 
 _NEVER = np.int64(1) << 62
 #: Longest word, in bytes, that the vectorised steps take; others go one by one.
@@ -286,8 +286,19 @@ class BpeCodec:
         return ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts; None counts as empty."""
-        words = [byte_words(t) if t and plain(t, tuple(self.special)) else None for t in texts]
+        """Ids of whole texts; None counts as empty.  A long text is taken in parts, so that its words needn't all be held."""
+        out, some, special = [], [], tuple(self.special)
+        for text in texts:
+            if text and len(text) > PART and plain(text, special):
+                out += self._encode(some, special)
+                out.append(b"".join(self._encode([part], special)[0] for part in parts(text)))
+                some = []
+            else:
+                some.append(text)
+        return out + self._encode(some, special)
+
+    def _encode(self, texts: list[str | None], special: tuple[str, ...]) -> list[bytes]:
+        words = [byte_words(t) if t and plain(t, special) else None for t in texts]
         known, older = self.known, self.known.older
         missing = list({w for ws in words if ws for w in ws}.difference(known))
         again = [w for w in missing if w in older]

@@ -9,6 +9,7 @@ string of a special token, go to the library whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,6 +18,9 @@ from tokenizers import Tokenizer
 CACHED = 200_000
 CACHED_CHARS = 64
 
+#: Characters of a plain text that are cut into words at a time.
+PART = 1 << 20
+
 _NOT_PLAIN = re.compile(r"[^\x20-\x7e\nÀ-ÖØ-öø-ÿ]")
 _LOWER = "a-zß-öø-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -50,6 +54,21 @@ def plain(text: str, special: tuple[str, ...]) -> bool:
     return not _NOT_PLAIN.search(text) and not any(s in text for s in special)
 
 
+_CUT = re.compile(r"(?<=[^ \n]) (?=[^ \n])")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A plain text in parts of about PART characters, cut before single spaces, where no word reaches across.
+
+    A text without such a space stays whole.
+    """
+    at = 0
+    while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def lower_words(text: str) -> list[str]:
     """Words of a plain text for the tokenizer that lower-cases and drops white space."""
     return _WORDS.findall(text.lower())
@@ -100,5 +119,5 @@ class CachedEncoder:
         if not text:
             return b""
         if plain(text, self.special):
-            return b"".join(map(self.known.__getitem__, self.words(text)))
+            return b"".join([b"".join(map(self.known.__getitem__, self.words(part))) for part in parts(text)])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

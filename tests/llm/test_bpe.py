@@ -32,6 +32,15 @@ def test_whole_texts(codec, library):
         assert codec.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_texts_in_parts(codec, library, monkeypatch):
+    monkeypatch.setattr("corpusgrep.llm.encoders.PART", 7)
+    monkeypatch.setattr("corpusgrep.llm.bpe.PART", 7)
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("ab' \n1.éÉD\t"), 80)) for _ in range(200)] + ["x" * 90, "a", None]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_merging_and_proposals_agree(codec, library):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 40))).encode() for _ in range(3000)] + [b"a" * n for n in range(1, 70)]

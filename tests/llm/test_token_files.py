@@ -36,6 +36,15 @@ def test_cached_encoder_is_the_library(name, chunks):
         assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name,words", [("word_bpe_49k.json", lower_words), ("byte_bpe_50k.json", byte_words)])
+def test_long_texts_in_parts(monkeypatch, name, words):
+    monkeypatch.setattr("corpusgrep.llm.encoders.PART", 7)
+    library, ours = Tokenizer.from_file(public_tokenizers.path(name)), CachedEncoder(public_tokenizers.path(name), words)
+    rng = np.random.default_rng(0)
+    for t in ["".join(rng.choice(list("ab' \n1.éÉD"), 80)) for _ in range(200)] + ["x" * 90, " " * 40]:
+        assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_files(spark, tmp_path, monkeypatch):
     rows = [(i * 3 - 7, t, "x") for i, t in enumerate(TEXTS)] + [(None, "n", "x"), (None, None, "y"), (2, "again", None), (2, "again", None)]
     spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(str(tmp_path / "documents.parquet"))
