@@ -282,4 +282,16 @@ def op2_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffix_array_family": op2_suffix_array_family}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_suffix_array_family": """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS g FROM p),
+t AS (SELECT r, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+n AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS first FROM t),
+m AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS span FROM n),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY r, span),
+g AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT g.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM g JOIN d ON d.r = g.r GROUP BY g.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r"""}
