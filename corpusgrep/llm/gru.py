@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -228,20 +229,22 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
     tells the class.
     """
     p, y = new_parameters(seed), np.array(labels, np.int64)
-    docs = [split(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    buckets = np.array([word_bucket(w) for w in vocabulary], np.int64)
-    grams = [np.array(char_buckets(w)) for w in vocabulary]
-    gram_flat = np.concatenate([np.zeros(0, np.int64), *grams])
-    gram_sizes = np.array([len(g) for g in grams], np.int64)
-    gram_first = np.cumsum(gram_sizes) - gram_sizes
-    ids = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
+    vocabulary: dict[str, int] = {}
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split(t)], np.int32) for t in texts]
+    buckets = np.fromiter(map(word_bucket, vocabulary), np.int32, len(vocabulary))
+    grams, gram_sizes = array("i"), np.zeros(len(vocabulary), np.int64)
+    for i, w in enumerate(vocabulary):
+        some = char_buckets(w)
+        grams.extend(some)
+        gram_sizes[i] = len(some)
+    del vocabulary
+    gram_flat, gram_first = np.frombuffer(grams, np.int32) if len(grams) else np.zeros(0, np.int32), np.cumsum(gram_sizes) - gram_sizes
     totals = np.array([(y == 0).sum(), (y == 1).sum()])
     word_seen, char_seen = np.zeros((WORD_BUCKETS, 2)), np.zeros((CHAR_BUCKETS, 2))
     for d, c in zip(ids, y.tolist(), strict=True):
         own = np.unique(d)
         word_seen[np.unique(buckets[own]), c] += 1
-        char_seen[np.unique(np.concatenate([np.zeros(0, np.int64), *(grams[i] for i in own)])), c] += 1
+        char_seen[np.unique(gram_flat[_ranges(gram_first[own], gram_sizes[own])]), c] += 1
     full = {"word": _log_odds(word_seen, totals, np.zeros(2)), "char": _log_odds(char_seen, totals, np.zeros(2))}
     left_out = [{"word": _log_odds(word_seen, totals, less), "char": _log_odds(char_seen, totals, less)} for less in np.eye(2)]
     if totals.min() == 0:
@@ -250,15 +253,15 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
         return p
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    spans = [windows(len(d)) for d in ids]
-
-    def inputs(c: int) -> np.ndarray:
-        """(vocabulary, INPUT) for documents of class c, without their own counts."""
-        word = p["word"][buckets].copy()
-        word[:, 0] += left_out[c]["word"][buckets]
-        char = p["char"][gram_flat].copy()
-        char[:, 0] += left_out[c]["char"][gram_flat]
-        return np.concatenate([word, np.add.reduceat(char, gram_first) / gram_sizes[:, None]], 1) if len(buckets) else np.zeros((0, INPUT), np.float32)
+    spans = lambda d: windows(len(ids[d]))
+
+    def gates_of(c: int) -> np.ndarray:
+        """Gates of all words for documents of class c, without their own counts."""
+        out = np.zeros((max(1, len(buckets)), 2, 3 * HIDDEN), np.float32)
+        for k in range(0, len(buckets), 8192):
+            x = _inputs(p, left_out[c], np.arange(k, min(len(buckets), k + 8192)), buckets, gram_flat, gram_first, gram_sizes)
+            out[k:k + len(x), 0], out[k:k + len(x), 1] = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
+        return out
 
     def layout(chosen: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         place, real = np.zeros((WINDOW, len(chosen)), np.int64), np.zeros((WINDOW, len(chosen)), bool)
@@ -268,20 +271,19 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
 
     flat = np.concatenate(ids)
     base = np.cumsum([0, *map(len, ids)])
-    every = {c: [(d, i, a + base[d], b + base[d]) for d in np.flatnonzero(y == c).tolist() for i, (a, b) in enumerate(spans[d])] for c in (0, 1)}
+    #: Of all windows, by class: document, number in it, begin and end in flat.
+    every = {c: np.array([(d, i, a + base[d], b + base[d]) for d in np.flatnonzero(y == c).tolist() for i, (a, b) in enumerate(windows(len(ids[d])))], np.int32) for c in (0, 1)}
     step, rounds = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // (len(ids) + int(totals[0]))))
     for epoch in range(rounds):
         best = np.zeros(len(ids), np.int64)
         for c in (0, 1):
-            x = inputs(c)
-            gates = np.stack([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1) if len(x) else np.zeros((1, 2, 3 * HIDDEN), np.float32)
-            owner, nth, begins, ends = np.array(every[c], np.int64).T
-            z = window_logits(p, gates.astype(np.float32), flat, begins, ends)
+            owner, nth, begins, ends = every[c].T.astype(np.int64)
+            z = window_logits(p, gates_of(c), flat, begins, ends)
             order = np.lexsort((z, owner))
             last = np.append(owner[order][1:] != owner[order][:-1], True)
             best[owner[order][last]] = nth[order][last]
-        chosen = [(d, *spans[d][best[d]]) for d in range(len(ids))]
-        chosen += [(d, *spans[d][rng.integers(len(spans[d]))]) for d in np.flatnonzero(y == 0).tolist()]
+        chosen = [(d, *spans(d)[best[d]]) for d in range(len(ids))]
+        chosen += [(d, *(some := spans(d))[rng.integers(len(some))]) for d in np.flatnonzero(y == 0).tolist()]
         order = rng.permutation(len(chosen))
         weight = np.where(y == 1, min(3.0, totals[0] / totals[1]), 1.0)
         for k in range(0, len(order), BATCH):
@@ -299,8 +301,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
             g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
             np.add.at(g["word"], buckets[words], d_x[:, :WORD_DIM])
             sizes = gram_sizes[words]
-            gram_of = np.repeat(gram_first[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            np.add.at(g["char"], gram_flat[gram_of], np.repeat(d_x[:, WORD_DIM:] / sizes[:, None], sizes, 0))
+            np.add.at(g["char"], gram_flat[_ranges(gram_first[words], sizes)], np.repeat(d_x[:, WORD_DIM:] / sizes[:, None], sizes, 0))
             step += 1
             for name, value in g.items():
                 m, v = moments[name]
@@ -316,12 +317,20 @@ def word_inputs(p: dict, left_out: list[dict], place: np.ndarray, toxic: np.ndar
     """Inputs of a layout's words, steps first, each document's log odds without itself."""
     words, which = np.unique(place, return_inverse=True)
     which = which.reshape(place.shape)
+    clean, bad = (_inputs(p, left_out[c], words, buckets, gram_flat, gram_first, gram_sizes) for c in (0, 1))
+    return np.where(toxic[None, :, None], bad[which], clean[which])
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at first and have these sizes."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _inputs(p: dict, odds: dict, words: np.ndarray, buckets, gram_flat, gram_first, gram_sizes) -> np.ndarray:
+    """Inputs of words, with these log odds added."""
     sizes = gram_sizes[words]
-    gram_of = np.repeat(gram_first[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    by_class = []
-    for c in (0, 1):
-        word, char = p["word"][buckets[words]].copy(), p["char"][gram_flat[gram_of]].copy()
-        word[:, 0] += left_out[c]["word"][buckets[words]]
-        char[:, 0] += left_out[c]["char"][gram_flat[gram_of]]
-        by_class.append(np.concatenate([word, np.add.reduceat(char, np.cumsum(sizes) - sizes) / sizes[:, None]], 1))
-    return np.where(toxic[None, :, None], by_class[1][which], by_class[0][which])
+    word, gram = p["word"][buckets[words]], gram_flat[_ranges(gram_first[words], sizes)]
+    word[:, 0] += odds["word"][buckets[words]]
+    char = p["char"][gram]
+    char[:, 0] += odds["char"][gram]
+    return np.concatenate([word, np.add.reduceat(char, np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)], 1)

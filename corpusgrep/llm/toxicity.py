@@ -13,7 +13,7 @@ from corpusgrep.llm import gru
 from corpusgrep.llm.common import slices
 
 #: Labelled documents of each class that the network is fitted to, at most: those of least hash.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
 THRESHOLD = 0.5
 
 
