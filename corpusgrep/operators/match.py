@@ -59,7 +59,7 @@ def grep(df: DataFrame, spec: SearchSpec, content: str = "content") -> DataFrame
     if spec.never:
         df = df.where(F.lit(False))
     if spec.needle:
-        df = df.where(F.contains(latin1.view(content), F.lit(latin1.literal(spec.needle))))
+        df = df.where(F.contains(F.col(content).cast("binary"), F.lit(spec.needle.encode("utf-8", "surrogateescape"))))
     engine = spec.chosen_engine()
     if engine == "jvm":
         found = lines(df, content)

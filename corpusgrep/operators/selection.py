@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.functions import glob as globs
+from corpusgrep.functions import latin1
+from corpusgrep.functions.regex import translate
 from corpusgrep.operators.type_table import BUILTIN, EXCLUDED_DIRS
 
 
@@ -173,6 +175,18 @@ class Selection:
             by_glob = F.when(like(g), F.lit(includes)).otherwise(by_glob)
         return F.when(by_type, ~vetoed).otherwise(by_glob)
 
+    def first_line_predicate(self, content: Column) -> Column:
+        """Whether the first line matches a first-line pattern of an active type.
+
+        The search itself doesn't use these patterns; this is for those who want scripts without an
+        extension as well, as an alternative to predicate().
+        """
+        first = F.substring_index(latin1.view(content), "\n", 1)
+        found = F.lit(False)
+        for pattern in sorted({f[1:-1] for some in self.active.values() for f in some if f[0] == "/" and f not in self.forbidden}):
+            found = found | first.rlike(translate(pattern).java)
+        return F.coalesce(found, F.lit(False))
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(type, kind, filter) of all definitions."""
         kinds = {".": "ext", "/": "firstline", "?": "glob"}

@@ -16,7 +16,7 @@ from corpusgrep.operators import aggregate, harness, render
 from corpusgrep.operators.match import grep, lines
 from corpusgrep.operators.selection import DirExclusion, Selection, select_files
 from corpusgrep.plans.spec import SearchSpec
-from corpusgrep.sources.table import from_table
+from corpusgrep.sources.table import from_table, spread
 
 #: File names that documents are given, and the same in SQL.
 _EXTENSIONS = [".cpp", ".h", ".c", ".py", ".html", ".sh", ".txt", ".xyz"]
@@ -111,7 +111,7 @@ SELECTIONS: list[tuple[str, list[tuple[str, str]], str]] = [
 
 def _search(spec: SearchSpec):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return grep(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec, "text")
+        return grep(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), spec, "text")
     return query
 
 
@@ -127,7 +127,7 @@ _SQL_PATTERN = "th[a-z]+sh"
 
 
 def _matches(spark: SparkSession, sf_dir: str, spec: SearchSpec = _SPEC) -> DataFrame:
-    return grep(_corpus(spark, sf_dir).select("path", "content"), spec)
+    return grep(spread(_corpus(spark, sf_dir).select("path", "content")), spec)
 
 
 def _rendered(out: render.Output):
@@ -142,11 +142,11 @@ _FILE, _LINE, _MARK, _END = (f"{_E} || '{c}' || {_E} || '[K'" for c in ("[32;1m"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep(_table(spark, sf_dir, "pages").select("page_id", "html"), SearchSpec("<h[1-6]>[^<]*", "sensitive"), "html")
+    return grep(spread(_table(spark, sf_dir, "pages").select("page_id", "html")), SearchSpec("<h[1-6]>[^<]*", "sensitive"), "html")
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), SearchSpec("and", "ignore", word=True), "text")
+    return grep(spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), SearchSpec("and", "ignore", word=True), "text")
 
 
 def _per_file(spark: SparkSession, sf_dir: str) -> DataFrame:

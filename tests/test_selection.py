@@ -64,3 +64,10 @@ def test_explicit_files_and_directories(spark):
 def test_listing(spark):
     shown = {r["type"]: r["value"] for r in render.type_listing(Selection().table(spark)).collect()}
     assert shown["python"] == "  python         .py" and shown["cmake"] == "  cmake          .cmake; CMakeLists.txt" and len(shown) == 72
+
+
+def test_first_lines(spark):
+    rows = [("a", "#!/usr/bin/env python3\nx"), ("b", "#!/bin/bash"), ("c", "x\n#!/bin/bash"), ("d", "<?xml version"), ("e", None), ("f", "")]
+    df = spark.createDataFrame(rows, "path string, content string")
+    hits = lambda s: {r.path for r in df.where(s.first_line_predicate(F.col("content"))).collect()}
+    assert hits(Selection()) == {"a", "b", "d"} and hits(Selection.of(T("shell"))) == {"b"}
