@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import stat
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -136,8 +137,9 @@ class _Reader(DataSourceReader):
             try:
                 with open(path, "rb") as f:
                     data = f.read()
-            except OSError:
-                continue  # gone or not readable since the walk
+            except OSError as e:  # gone or not readable since the walk
+                print(f"error: could not read {path}: {e.strerror}", file=sys.stderr)
+                continue
             yield path, path.rsplit("/", 1)[-1], data, len(data), explicit
 
 
