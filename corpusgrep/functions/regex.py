@@ -30,6 +30,8 @@ class Translated:
     whole: str
     #: Lookarounds or anchors could see other lines, so lines can't be matched alone.
     needs_whole: bool
+    #: A test of a whole file that every file with a matching line passes; None where there is no such simple test.
+    java_file: str | None
     #: A repeated group may recurse as deep as a line is long on the JVM.
     deep: bool
 
@@ -95,6 +97,8 @@ class _Translator:
         self.java: list[str] = []
         self.python: list[str] = []
         self.whole: list[str] = []
+        self.java_whole: list[str] = []
+        self.borders = False
         self.open: list[dict] = []
         self.looks, self.feeds, self.deep, self.anchored = 0, False, False, False
         self.has_look = False
@@ -105,6 +109,7 @@ class _Translator:
         self.java.append(java)
         self.python.append(python)
         self.whole.append(python if whole is None else whole)
+        self.java_whole.append(java if whole is None else whole)
 
     def members(self, members: str, negated: bool = False) -> None:
         """A class of bytes; outside lookarounds the whole-file form never takes a line feed."""
@@ -166,9 +171,11 @@ class _Translator:
                 self.put("[^\\x0a]")
                 self.item = {"group": False}
             elif c == "^":
+                self.borders = True
                 self.put("^")
                 self.item = {"group": False, "look": 1}
             elif c == "$":
+                self.borders = True
                 self.put("$")
                 self.item = {"group": False, "look": 1}
             else:
@@ -215,6 +222,7 @@ class _Translator:
         elif c == "E":
             pass
         elif c in "bB":
+            self.borders = True
             self.put(_BORDER if c == "b" else _INSIDE)
             self.item = {"group": False, "look": 1}
         elif c in _SHORT:
@@ -441,4 +449,7 @@ def translate(pattern: str, ignore_case: bool = False, word: bool = False) -> Tr
             if "look-behind" in str(e):
                 raise UnsupportedPattern(str(e)) from e
             raise BadPattern(str(e)) from e
-    return Translated(java, python, whole, needs_whole, t.deep)
+    # What lies beyond a line's ends must not matter: no borders, lookarounds or empty matches.  Word borders
+    # would be right, but testing for them at every byte costs more than it spares.
+    simple = not (word or t.borders or t.has_look or t.anchored or re.search(python.encode("latin-1"), b""))
+    return Translated(java, python, whole, needs_whole, finish(t.java_whole, f"(?d{flags})") if simple else None, t.deep)

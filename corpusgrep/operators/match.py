@@ -49,8 +49,8 @@ def _outputs(keep: list[str], line: Column, column: Column, match: Column) -> li
 def grep(df: DataFrame, spec: SearchSpec, content: str = "content") -> DataFrame:
     """One row for each line that matches, with the leftmost match: MATCH_COLUMNS after the other columns.
 
-    Columns count bytes.  A search without ignored case or word borders tests whole files for a
-    string that they must have before it splits them; filters on other columns reach the scan.
+    Columns count bytes.  Whole files are tested, for a string that every match has and for any match
+    at all, before they are split into lines; filters on other columns reach the scan.
     Columns named like the results are replaced.
     """
     translated = spec.translated()
@@ -62,6 +62,9 @@ def grep(df: DataFrame, spec: SearchSpec, content: str = "content") -> DataFrame
         df = df.where(F.contains(F.col(content).cast("binary"), F.lit(spec.needle.encode("utf-8", "surrogateescape"))))
     engine = spec.chosen_engine()
     if engine == "jvm":
+        if spec.plain is None and translated.java_file is not None:
+            # Stops at a file's first match, and spares the others from being split.
+            df = df.where(F.rlike(latin1.view(content), F.lit(translated.java_file)))
         found = lines(df, content)
         line = F.col("line")
         if spec.plain is not None:

@@ -57,6 +57,11 @@ def test_whole_file_form_never_crosses_lines():
     assert whole("a\\nb", b"a\nb") == []
 
 
+def test_file_test():
+    assert [translate(p).java_file is not None for p in ("ab+", "a\\s", "\\bab\\b", "a*", "^a", "a$", "a(?!b)", "")] == [True, True, False, False, False, False, False, False]
+    assert "(?!\\x0a)" in translate("a\\s").java_file
+
+
 def test_negated_classes_are_complements():
     for name, members in POSIX.items():
         one, other = (re.compile(f"[{m}]".encode("latin-1")) for m in (members, _NEGATED[name]))
