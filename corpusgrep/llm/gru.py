@@ -43,7 +43,7 @@ def word_bucket(word: str) -> int:
 
 
 def char_buckets(word: str) -> list[int]:
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     return [zlib.crc32(w[i:i + 3].encode()) % CHAR_BUCKETS for i in range(len(w) - 2)] or [0]
 
 

@@ -141,7 +141,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 base = base_spans(t)
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 some = [*base, *((a, None, b) for a, b in candidates(t, base))]
-                places.append([{"start": a, "end": b, "kind": k, "instance": t[a:b].lower()[:256], "context": c} for a, k, b in some for c in contexts(t, a, b)])
+                places.append([{"start": a, "end": b, "kind": k, "instance": t[a:b].lower(), "context": c} for a, k, b in some for c in contexts(t, a, b)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), pa.array(bases, pa.list_(span)), pa.array(places, pa.list_(place))], ["doc_id", "k", "base", "places"])
 
