@@ -31,7 +31,9 @@ from corpusgrep.llm.encoders import CachedEncoder, lower_words
 _HEAD = struct.Struct("<4sBQQQqQQQ")
 MAGIC = b"EFT1"
 #: Tokens after which a segment ends, so that memory doesn't follow the file's size.
-SEGMENT_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 20
+#: MB of stored text, by the optimizer's estimate, for a file; a reader holds a file's ids at once.
+FILE_MB = 6
 
 
 def pack_segment(doc_ids: list, lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -83,7 +85,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """
     width = 2 if max(end_id, _largest_id(tokenizer)) < 1 << 16 else 4
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(partitions_for(rows), "k", "h").sortWithinPartitions("k", "h")
+    rows = rows.repartitionByRange(partitions_for(rows, FILE_MB), "k", "h").sortWithinPartitions("k", "h")
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
