@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: For jobs that write a stage: adaptive execution joins small partitions up to its advisory size, so that a small
+#: stage makes few tasks and files, and batches for Python are small, so that executors need little memory beside the heap.
+SETTINGS = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def settings(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold inside; what was set before holds again afterwards."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage; they go when the application ends."""
 
@@ -47,18 +66,9 @@ class Stages:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back.
-
-        Meanwhile adaptive execution joins small partitions up to its advisory size, so that a small
-        stage makes few tasks and files.
-        """
-        conf, name_ = self.spark.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-        before = conf.get(name_)
-        conf.set(name_, "false")
-        try:
+        """Write df as Parquet and read it back."""
+        with settings(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            conf.set(name_, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

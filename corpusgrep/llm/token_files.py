@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, partitions_for
+from corpusgrep.llm.common import Stages, partitions_for, settings
 from corpusgrep.llm.elias_fano import EliasFano
 from corpusgrep.llm.encoders import CachedEncoder, lower_words
 
@@ -108,7 +108,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
         if keys:
             yield segment()
 
-    rows.select("k", "t").mapInArrow(pack, "b binary").select(F.col("b").cast("string")).write.mode("overwrite").text(path)
+    with settings(df.sparkSession):
+        rows.select("k", "t").mapInArrow(pack, "b binary").select(F.col("b").cast("string")).write.mode("overwrite").text(path)
 
 
 def _largest_id(tokenizer: str) -> int:
