@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words that each of the two generations of a cache holds, and the longest of them.
-CACHED = 150_000
+CACHED = 200_000
 CACHED_CHARS = 64
 
 #: Characters of a plain text that are cut into words at a time.
