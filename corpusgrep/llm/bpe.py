@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -327,6 +328,12 @@ class BpeCodec:
         return b"".join([table[i] for i in ids.tolist() if 0 <= i < n]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> BpeCodec:
+    """The codec of this Python process, whose words the next tasks find as well."""
+    return BpeCodec(path)
+
+
 def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The kept columns, the ids of each whole text and the text that these decode to.
 
@@ -336,7 +343,7 @@ def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids
     rows = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(path)
+        codec = codec_of(path)
         for batch in slices(batches, "__text"):
             found = codec.encode(batch.column("__text").to_pylist())
             flat = np.frombuffer(b"".join(found), "<u4")

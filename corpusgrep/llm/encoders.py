@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -121,3 +122,9 @@ class CachedEncoder:
         if plain(text, self.special):
             return b"".join([b"".join(map(self.known.__getitem__, self.words(part))) for part in parts(text)])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def cached_encoder(path: str, words) -> CachedEncoder:
+    """The encoder of this Python process, whose words the next tasks find as well."""
+    return CachedEncoder(path, words)

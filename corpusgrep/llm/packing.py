@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import Stages, gapless_rank, slices
-from corpusgrep.llm.encoders import CachedEncoder, byte_words
+from corpusgrep.llm.encoders import cached_encoder, byte_words
 
 #: Partners tried for the second and third place of a pattern, the commonest lengths first.
 PARTNERS = 40
@@ -124,7 +124,7 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(path, byte_words)
+        encode = cached_encoder(path, byte_words)
         for batch in slices(batches, "t"):
             out: tuple[list, ...] = ([], [], [], [], [])
             for k, t in zip(batch.column("k").to_pylist(), batch.column("t"), strict=True):

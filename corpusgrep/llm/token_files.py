@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import Stages, partitions_for, settings
 from corpusgrep.llm.elias_fano import EliasFano
-from corpusgrep.llm.encoders import CachedEncoder, lower_words
+from corpusgrep.llm.encoders import cached_encoder, lower_words
 
 _HEAD = struct.Struct("<4sBQQQqQQQ")
 MAGIC = b"EFT1"
@@ -89,7 +89,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(tokenizer, lower_words)
+        encode = cached_encoder(tokenizer, lower_words)
         keys, lengths, parts, tokens = [], [], [], 0
 
         def segment():
