@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts find.
 
 Entities that the fixed patterns find are seeds.  The words around them are
-lexical patterns, and the other tokens with a digit or an at sign that stand
-in the same contexts are instances.  Patterns and instances form a bipartite
+lexical patterns, and the other tokens with a digit or an at sign, runs of
+digit groups and spelt-out addresses that stand in the same contexts are
+instances.  Patterns and instances form a bipartite
 graph by kind, scored in turns by joins: a pattern by the share of its
 distinct instances that are believed, an instance by the patterns that it
 stands in.  Instances found by patterns of high confidence are identifiers
@@ -11,11 +12,12 @@ that no fixed pattern describes; they add spans to the fixed ones.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.common import Stages, slices
@@ -26,8 +28,8 @@ SUPPORT = 5
 CONFIDENCE = 0.75
 PRIOR = 1.0
 TURNS = 3
-#: Characters that an unseen identifier may have.
-LENGTHS = (5, 64)
+#: Characters that an unseen identifier has at least, and those up to which it stands for itself in the graph; longer ones are hashed.
+LEAST, PLAIN = 5, 64
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +38,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D\"'()\[\]{}<>,;|=]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Two or more whole groups of digits, joined by a dot or by up to three blanks, hyphens and parentheses; a dot and a blank end a sentence.
+_RUN = re.compile(r"(?:\+\x20?\(?|\(|(?<![^\W_]))[0-9]++(?![^\W_])(?:(?:\.|[-()\x20\x09\xA0]{1,3})[0-9]++(?![^\W_]))++")
+#: An address spelt out: words joined by bracketed words or signs or by "dot", or by a bare "at" that "dot" follows.
+_BRACKETED = r"\x20?[\[({<]\x20?(?:[^\W\d_]{1,8}|[@.])\x20?[\])}>]\x20?"
+_PART, _FIRST, _DOT = r"[\w-]++(?:\.[\w-]++)*+", r"(?<![\w.%+-])[\w.%+-]++", r"\x20dot\x20"
+_SPELT = re.compile(rf"{_FIRST}(?:(?:(?:{_BRACKETED}|{_DOT}){_PART})*+\x20at\x20{_PART}(?:{_DOT}{_PART})++(?!\x20at\x20)|(?:(?:{_BRACKETED}|{_DOT}){_PART})++)", re.IGNORECASE)
+_JOINED = re.compile(rf"{_BRACKETED}|\x20dot\x20", re.IGNORECASE)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -106,28 +115,56 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def _runs(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups outside the spans, with the parentheses that belong to them."""
+    pieces, done = [], 0
+    for a, b in spans:
+        if b > done:
+            pieces += [text[done:max(a, done)], "\0" * (b - max(a, done))]
+            done = b
+    text = "".join([*pieces, text[done:]])
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if m[0][0] == "(" and ")" not in m[0]:
+            start += 1
+        if text.count("(", start, end) > text.count(")", start, end) and text[end:end + 1] == ")":
+            end += 1
+        yield start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or an at sign that overlap no base span."""
-    if "@" not in text and not any(d in text for d in "0123456789"):
-        return
+    """Places of LEAST characters or more that overlap no base span, sorted.
+
+    They are tokens with a digit or an at sign, whole runs of neighbouring digit groups, and
+    addresses spelt out.  A token of a run is a place of its own as well.
+    """
+    spans, found = sorted((a, b) for a, _, b in taken), set()
+    if "@" in text or any(d in text for d in "0123456789"):
+        for m in _TOKEN.finditer(text):
+            token = m[0].rstrip(".:!?")
+            if any("0" <= c <= "9" or c == "@" for c in token):
+                found.add((m.start(), m.start() + len(token)))
+        found.update(_runs(text, spans))
+    if _JOINED.search(text):
+        found.update(m.span() for m in _SPELT.finditer(text) if _JOINED.search(m[0]))
     at = 0
-    spans = sorted((a, b) for a, _, b in taken)
-    for m in _TOKEN.finditer(text):
-        token = m[0].rstrip(".:!?")
-        if not any("0" <= c <= "9" or c == "@" for c in token) or not LENGTHS[0] <= len(token) <= LENGTHS[1]:
-            continue
-        start, end = m.start(), m.start() + len(token)
+    for start, end in sorted(found):
         while at < len(spans) and spans[at][1] <= start:
             at += 1
-        if not any(a < end and b > start for a, b in spans[at:at + 8]):
+        if end - start >= LEAST and not (at < len(spans) and spans[at][0] < end):
             yield start, end
 
 
+def _instance(string: str) -> str:
+    string = string.lower()
+    return string if len(string) <= PLAIN else "sha256 " + hashlib.sha256(string.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k, base, places) of each row: base spans, and every place that may be an instance.
 
     A null text has neither.  k is a hash of id and text, so that equal rows share it.  Places are
-    (start, end, kind's index or null, hash of the string, context).  No shuffle.
+    (start, end, kind's index or null, the string or its hash, context).  No shuffle.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(key, text).alias("k"), F.col(text).alias("t"))
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
@@ -141,7 +178,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 base = base_spans(t)
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 some = [*base, *((a, None, b) for a, b in candidates(t, base))]
-                places.append([{"start": a, "end": b, "kind": k, "instance": t[a:b].lower(), "context": c} for a, k, b in some for c in contexts(t, a, b)])
+                places.append([{"start": a, "end": b, "kind": k, "instance": _instance(t[a:b]), "context": c} for a, k, b in some for c in contexts(t, a, b)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), pa.array(bases, pa.list_(span)), pa.array(places, pa.list_(place))], ["doc_id", "k", "base", "places"])
 
@@ -175,7 +212,10 @@ def discover(stages: Stages, scanned: DataFrame) -> DataFrame:
     sure = belief.where(~F.col("fixed") & (F.col("score") >= CONFIDENCE))
     best = places.where("kind is null").join(good, "context").join(sure, ["instance", "of"]).groupBy("doc_id", "k", "start", "end").agg(
         F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("best"))
-    return best.select("doc_id", "k", "start", (-F.col("best.less")).alias("kind"), "end")
+    # Of places inside one another the outermost counts.
+    before = Window.partitionBy("doc_id", "k").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = best.withColumn("__reach", F.max("end").over(before)).where("__reach is null or end > __reach")
+    return outer.select("doc_id", "k", "start", (-F.col("best.less")).alias("kind"), "end")
 
 
 def find_spans(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from corpusgrep.llm.pii import KINDS, base_spans, mask, op4_bootstrapped_contexts
+from corpusgrep.llm.pii import KINDS, base_spans, candidates, mask, op4_bootstrapped_contexts
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -53,6 +53,26 @@ def test_discovery(spark, tmp_path):
         assert any(g[0] == k and g[1:5] == tuple(sum(i == n for _, i, _ in spans) for n in range(4)) and g[5] == hashlib.sha256(base.encode()).hexdigest() for g in got)
 
 
+def additions(got):
+    return {g[0]: g[6] for g in got if hashlib.sha256(g[6].encode()).hexdigest() != g[5]}
+
+
+def test_discovery_of_groups(spark, tmp_path):
+    seeds = [(i, f"Line and so call me at +1 ({200 + i}) 555-55{10 + i} for more", None) for i in range(40)]
+    unseen = ["555 123 4567", "(555) 123-4567", "555.123.4567", "+1 (555) 1234", "jane [at] example [dot] com", "jane at example dot com", "x" * 70 + "7", "12345678"]
+    texts = [f"Other words call me at {u} for more" for u in unseen] + ["Then call me at 4111 1111 1111 1112.", "Then call me at (555 123 4567) now", "Then call me at 12345678. 2 of them came"]
+    rows = seeds + [(100 + i, t, None) for i, t in enumerate(texts)]
+    want = {100 + i: f"phone:{t.index(u)}:{t.index(u) + len(u)}" for i, (t, u) in enumerate(zip(texts, [*unseen, "4111 1111 1111 1112", "555 123 4567", "12345678"], strict=True))}
+    assert additions(query(spark, tmp_path, rows)) == want
+
+
+def test_candidates():
+    places = lambda t: [t[a:b] for a, b in candidates(t, base_spans(t))]
+    assert places("no 12 34 5 a@b.cd 555 1234, 99 12ab34 7") == ["12 34 5", "555 1234", "12ab34"]
+    assert places("9" * 3000) == ["9" * 3000] and places("we (at) home") == ["we (at) home"] and places("look at me") == []
+    assert places("1 2 " * 20000) == [("1 2 " * 20000).strip()]
+
+
 def test_mask(spark):
     rows = [(1, "é mail a@b.cd or 10.0.0.1, card 4111 1111 1111 1111.", "k"), (2, None, "k"), (3, "none", None), (None, "a@b.cd", "k"), (1, "dup a@b.cd", "k"), (1, "dup a@b.cd", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
