@@ -98,7 +98,7 @@ def _clean(word: str) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: two words before it, three, and one on each side.
+    """Lexical patterns of a place: one word before it, two, three, one after it, and one on each side.
 
     Only the nearest 200 characters count, and words that have digits don't.  What is written
     directly before the place, like a label with a colon, is the first word before it.
@@ -107,9 +107,11 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     after = [w for w in (_clean(m) for m in _WORD.findall(text[end:end + 200])[:2]) if w]
     plain = lambda words: not any(c.isdigit() or c == "@" for w in words for c in w)
     out = []
-    for label, words in (("2", before[-2:]), ("3", before[-3:])):
-        if len(words) == int(label) and plain(words):
-            out.append(f"{label} {' '.join(words)} _")
+    for n in (1, 2, 3):
+        if len(before) >= n and plain(before[-n:]):
+            out.append(f"{n} {' '.join(before[-n:])} _")
+    if after and plain(after[:1]):
+        out.append(f"0 _ {after[0]}")
     if before and after and plain([before[-1], after[0]]):
         out.append(f"1 {before[-1]} _ {after[0]}")
     return out

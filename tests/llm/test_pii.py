@@ -66,6 +66,13 @@ def test_discovery_of_groups(spark, tmp_path):
     assert additions(query(spark, tmp_path, rows)) == want
 
 
+def test_one_word_labels(spark, tmp_path):
+    seeds = [(i, f"w{i}a v{i}b Phone: +1 ({200 + i}) 555-55{10 + i} u{i}c", None) for i in range(20)]
+    seeds += [(50 + i, f"w{i}a v{i}b x{i}@mail.example.com (Mailbox) u{i}c", None) for i in range(20)]
+    rows = [*seeds, (100, "odd even Phone: 555-123-4567 more", None), (101, "Phone: 555 123 9999", None), (102, "see jo_at_x99 (mailbox)", None), (103, "see jo_at_x98 there", None)]
+    assert additions(query(spark, tmp_path, rows)) == {100: "phone:16:28", 101: "phone:7:19", 102: "email:4:13"}
+
+
 def test_candidates():
     places = lambda t: [t[a:b] for a, b in candidates(t, base_spans(t))]
     assert places("no 12 34 5 a@b.cd 555 1234, 99 12ab34 7") == ["12 34 5", "555 1234", "12ab34"]
