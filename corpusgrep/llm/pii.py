@@ -6,7 +6,7 @@ digit groups and spelt-out addresses that stand in the same contexts are
 instances.  Patterns and instances form a bipartite
 graph by kind, scored in turns by joins: a pattern by the share of its
 distinct instances that are believed, an instance by the patterns that it
-stands in.  Instances found by patterns of high confidence are identifiers
+stands in, until nothing is added.  Instances found by patterns of high confidence are identifiers
 that no fixed pattern describes; they add spans to the fixed ones.
 """
 
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from corpusgrep.llm.common import Stages, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, confidence that a pattern and an instance need, weight of the prior against a pattern, turns.
+#: Distinct seeds that a pattern needs, confidence that a pattern needs, weight of the prior against a pattern, movement of all scores that counts as rest.
 SUPPORT = 5
 CONFIDENCE = 0.75
 PRIOR = 1.0
-TURNS = 3
+MOVED = 1e-6
 #: Characters that an unseen identifier has at least, and those up to which it stands for itself in the graph; longer ones are hashed.
 LEAST, PLAIN = 5, 64
 
@@ -192,31 +192,41 @@ def discover(stages: Stages, scanned: DataFrame) -> DataFrame:
     """(doc_id, k, start, kind, end) of the spans that patterns of high confidence add.
 
     The graph has an edge for each distinct context and string, however many copies it has; all
-    scoring is joins and aggregations on it.  Contexts that few seeds share are dropped first.
+    scoring is joins and aggregations on it.  Contexts with fewer strings than a pattern needs are
+    dropped first.  Instances that were found count as seeds in the next turn.  Scores never fall,
+    so sets only grow, and the turns end when nothing is added and the scores rest.
     """
     places = scanned.select("doc_id", "k", F.explode("places").alias("p")).select("doc_id", "k", "p.*")
-    seen = places.groupBy("context", "instance").agg(F.min("kind").alias("kind"))
-    support = seen.where("kind is not null").groupBy("context", F.col("kind").alias("of")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    edges = stages.write(seen.join(support.select("context", "of"), "context"), "edges")  # of: the kind that the context is scored for
-    belief = edges.select("instance", "of", (F.col("kind") == F.col("of")).cast("double").alias("own"), "kind").groupBy("instance", "of").agg(
-        F.coalesce(F.max("own"), F.lit(0.0)).alias("score"), F.max(F.col("kind").isNotNull()).alias("fixed"))
-    belief = stages.write(belief, "belief-0")
-    for turn in range(TURNS):
-        patterns = edges.join(belief, ["instance", "of"]).groupBy("context", "of").agg(
-            (F.sum("score") / (F.count("*") + PRIOR)).alias("confidence"))
+    seen = stages.write(places.groupBy("context", "instance").agg(F.min("kind").alias("kind")), "seen")
+    sizes = stages.write(seen.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "sizes")
+    known = seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
+    edges = stages.write(seen.select("context", "instance").join(sizes.select("context"), "context").join(known, "instance", "left"), "edges")
+    seeds = edges.where("kind is not null").groupBy("context", F.col("kind").alias("of")).agg(F.count("*").cast("double").alias("mass"), F.count("*").alias("support"))
+    seeds, unseen = stages.write(seeds, "seeds"), edges.where("kind is null").select("context", "instance")
+    stages.drop("seen")
+    found, before, turn = None, (0, 0, 0.0), 0
+    while True:
+        mass = seeds if found is None else seeds.unionByName(
+            unseen.join(found, "instance").groupBy("context", "of").agg(F.sum("score").alias("mass"), F.count("*").alias("support")))
+        confidence = F.round(F.col("mass") / (F.col("n") + PRIOR), 9)
+        patterns = mass.groupBy("context", "of").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support")).where(F.col("support") >= SUPPORT).join(
+            sizes, "context").select("context", "of", confidence.alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
         patterns = stages.write(patterns, f"patterns-{turn}")
-        # An instance is as likely as that not all of its patterns are wrong; seeds stay as they are.
-        lifted = edges.join(patterns.where(F.col("confidence") >= CONFIDENCE), ["context", "of"]).groupBy("instance", "of").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("found"))
-        belief = stages.write(belief.join(lifted, ["instance", "of"], "left").select(
-            "instance", "of", F.when(F.col("fixed"), F.col("score")).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"), "fixed"), f"belief-{turn + 1}")
-    good = patterns.where(F.col("confidence") >= CONFIDENCE).select("context", "of")
-    sure = belief.where(~F.col("fixed") & (F.col("score") >= CONFIDENCE))
-    best = places.where("kind is null").join(good, "context").join(sure, ["instance", "of"]).groupBy("doc_id", "k", "start", "end").agg(
+        # An instance is as likely as that not all of its patterns are wrong.
+        found = stages.write(unseen.join(patterns, "context").groupBy("instance", "of").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score")), f"found-{turn}")
+        if turn:
+            stages.drop(f"patterns-{turn - 1}", f"found-{turn - 1}")
+        count, total = found.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        now = (patterns.count(), count, total)
+        if not count or now[:2] == before[:2] and abs(total - before[2]) <= MOVED * max(1.0, total * 1e-6):
+            break
+        before, turn = now, turn + 1
+    best = places.where("kind is null").join(patterns.select("context", "of"), "context").join(found, ["instance", "of"]).groupBy("doc_id", "k", "start", "end").agg(
         F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("best"))
     # Of places inside one another the outermost counts.
-    before = Window.partitionBy("doc_id", "k").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = best.withColumn("__reach", F.max("end").over(before)).where("__reach is null or end > __reach")
+    earlier = Window.partitionBy("doc_id", "k").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = best.withColumn("__reach", F.max("end").over(earlier)).where("__reach is null or end > __reach")
     return outer.select("doc_id", "k", "start", (-F.col("best.less")).alias("kind"), "end")
 
 

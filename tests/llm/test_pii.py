@@ -73,6 +73,14 @@ def test_one_word_labels(spark, tmp_path):
     assert additions(query(spark, tmp_path, rows)) == {100: "phone:16:28", 101: "phone:7:19", 102: "email:4:13"}
 
 
+def test_discovered_instances_are_seeds(spark, tmp_path):
+    level = [[f"u{i}@mail.example.com" for i in range(1000)], *([f"no_{j}_{i:03}x" for i in range(n)] for j, n in enumerate((250, 60, 14, 3), 1))]
+    texts = [f"left{c} near{c} {s} right{c}" for j, c in enumerate("abcd") for s in level[j] + level[j + 1]]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    want = {i: f"email:12:{12 + len(s)}" for i, t, _ in rows if "@" not in (s := t.split()[2])}
+    assert additions(query(spark, tmp_path, rows)) == want
+
+
 def test_candidates():
     places = lambda t: [t[a:b] for a, b in candidates(t, base_spans(t))]
     assert places("no 12 34 5 a@b.cd 555 1234, 99 12ab34 7") == ["12 34 5", "555 1234", "12ab34"]
