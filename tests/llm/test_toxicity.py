@@ -103,6 +103,14 @@ def test_query(spark, tmp_path):
     assert np.mean([r.predicted == truth[r.doc_id] for r in tested]) > 0.95
 
 
+def test_sample_sizes(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(gru, "train", lambda texts, labels: learnt.extend(labels))
+    rows = spark.range(5000).selectExpr("id as doc_id", "'a' as text", "int(id % 3 = 0) as toxic")
+    fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert (sum(learnt), len(learnt)) == (1000, 3000)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
