@@ -53,7 +53,7 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
 
 
 def bounds(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds (queries, vectors) of the squared distances."""
+    """Lower and upper bounds (queries, vectors) of the squared distances; infinite where they can't be computed."""
     dim = queries.shape[1]
     q = (queries - centre) @ turn.T
     q_norm = np.sqrt((q * q).sum(1))
@@ -63,10 +63,13 @@ def bounds(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, queries: np.nda
     own = np.maximum(own, np.float32(1e-6))
     near = raw / own
     error = np.float32(EPSILON / np.sqrt(max(1, dim - 1))) * np.sqrt(np.maximum(1 - own * own, 0)) / own + np.float32(1e-4)
-    scale = 2 * q_norm.astype(np.float32)[:, None] * norm[None, :]
-    base = (q_norm * q_norm).astype(np.float32)[:, None] + (norm * norm)[None, :]
-    slack = np.float32(1e-5) * base
-    return base - scale * np.minimum(near + error, 1) - slack, base - scale * np.maximum(near - error, -1) + slack
+    far, norm = q_norm[:, None], norm.astype(np.float64)[None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale, base = 2 * far * norm, far * far + norm * norm
+        slack = 1e-5 * base
+        low, high = base - scale * np.minimum(near + error, 1) - slack, base - scale * np.maximum(near - error, -1) + slack
+    known = np.isfinite(low) & np.isfinite(high)
+    return np.where(known, low, -np.inf), np.where(known, high, np.inf)
 
 
 def usable(vector: Column) -> Column:

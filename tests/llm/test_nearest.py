@@ -39,6 +39,15 @@ def test_against_all(spark, monkeypatch):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+def test_far_vectors(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, (rng.normal(size=8) * scale).astype(np.float32).tolist(), "") for i, scale in enumerate([1.0] * 30 + [1e20] * 20 + [1e38] * 5)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got, want = sorted(map(tuple, nearest(spark, df, df).collect())), brute(data, set(range(55)), 10)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     vectors, queries = rng.normal(size=(3000, 64)) + 1, rng.normal(size=(40, 64)) + 1
