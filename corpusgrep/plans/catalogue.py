@@ -71,6 +71,7 @@ SEARCHES: list[tuple[str, SearchSpec, str, str]] = [
     ("grep_word", SearchSpec("der", "sensitive", word=True), r"\bder\b", "c"),
     ("grep_word_ignore_case", SearchSpec("the", "ignore", word=True), r"\bthe\b", "i"),
     ("grep_literal_word", SearchSpec("a.", "sensitive", literal=True, word=False), r"a\.", "c"),
+    ("grep_literal_whole_word", SearchSpec("License", "sensitive", literal=True, word=True), r"\bLicense\b", "c"),
     ("grep_smart_case_lower", SearchSpec("licensed under"), "licensed under", "i"),
     ("grep_smart_case_upper", SearchSpec("Licensed"), "Licensed", "c"),
     ("grep_class", SearchSpec(r"[[:digit:]]{1,3}(\.[0-9]{1,3}){3}", "sensitive"), r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "c"),
