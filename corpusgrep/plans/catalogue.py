@@ -186,6 +186,10 @@ def _help_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.type_listing(Selection.of([("set", "mine:ext:xyz,txt"), ("add", "mine:is:Makefile")]).table(spark).where("type in ('ada', 'lua', 'make', 'mine', 'rake')"))
 
 
+def _help_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.type_listing(Selection.of([("set", "mine:ext:xyz,txt"), ("add", "mine:is:Makefile")]).table(spark))
+
+
 def _path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     split = paths.split_nonempty(F.concat(F.lit("/"), p, F.lit("//x")), "/")
@@ -246,7 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "newline_literal": _total(SearchSpec("a\nb", literal=True)), "line_count": _line_count, "bytes_scanned": _bytes_scanned, "ignore_dir": _ignore_dir, "traversal_stats": _traversal,
         "render_prefixed": _rendered(render.Output()), "render_column": _rendered(render.Output(column=True)), "render_no_line_number": _rendered(render.Output(line_number=False)),
         "render_color": _rendered(render.Output(colour=True, column=True)), "render_heading": _rendered(render.Output(heading=True)), "render_null": _rendered(render.Output(null=True)),
-        "help_types": _help_types, "path_functions": _path_functions, "multi_root_union": _roots,
+        "help_types": _help_types, "help_types_all": _help_types_all, "path_functions": _path_functions, "multi_root_union": _roots,
         "bench_matrix": _bench_matrix, "bench_stats": _bench_stats, "bench_argmax": _bench_argmax, "result_diff": _result_diff, "best_files": _best_lines,
     }
     return out
@@ -280,6 +284,25 @@ def oracle_sql() -> dict[str, str]:
         "render_heading": f"{_HITS} SELECT path || chr(10) || string_agg(line_no || ':' || line, chr(10) ORDER BY line_no, line) AS value FROM h GROUP BY path",
         "render_null": f"{_HITS} SELECT path || chr(0) || line_no || ':' || line AS value FROM h",
         "help_types": "SELECT * FROM (VALUES ('ada', '  ada            .ada .adb .ads'), ('lua', '  lua            .lua'), ('make', '  make           .mk .mak; makefile Makefile Makefile.Debug Makefile.Release'), ('mine', '  mine           .xyz .txt; Makefile'), ('rake', '  rake           Rakefile')) t(type, value)",
+        "help_types_all": """SELECT * FROM (VALUES ('actionscript', '  actionscript   .as .mxml'), ('ada', '  ada            .ada .adb .ads'), ('asm', '  asm            .asm .s .S'), ('asp', '  asp            .asp'),
+  ('aspx', '  aspx           .master .ascx .asmx .aspx .svc'), ('autoconf', '  autoconf       .ac .in'), ('automake', '  automake       .am .in'), ('awk', '  awk            .awk'),
+  ('batch', '  batch          .bat .cmd'), ('cc', '  cc             .c .h .xs'), ('cfmx', '  cfmx           .cfc .cfm .cfml'), ('clojure', '  clojure        .clj'),
+  ('cmake', '  cmake          .cmake; CMakeLists.txt'), ('coffeescript', '  coffeescript   .coffee'), ('cpp', '  cpp            .cpp .cc .cxx .m .hpp .hh .h .hxx'), ('csharp', '  csharp         .cs'),
+  ('css', '  css            .css'), ('dart', '  dart           .dart'), ('delphi', '  delphi         .pas .int .dfm .nfm .dof .dpk .dproj .groupproj .bdsgroup .bdsproj'), ('elisp', '  elisp          .el'),
+  ('elixir', '  elixir         .ex .exs'), ('erlang', '  erlang         .erl .hrl'), ('fortran', '  fortran        .f .f77 .f90 .f95 .f03 .for .ftn .fpp'), ('go', '  go             .go'),
+  ('groovy', '  groovy         .groovy .gtmpl .gpp .grunit .gradle'), ('haskell', '  haskell        .hs .lhs'), ('hh', '  hh             .h'), ('html', '  html           .htm .html'),
+  ('jade', '  jade           .jade'), ('java', '  java           .java .properties'), ('js', '  js             .js'), ('json', '  json           .json'),
+  ('jsp', '  jsp            .jsp .jspx .jhtm .jhtml'), ('less', '  less           .less'), ('lisp', '  lisp           .lisp .lsp'), ('lua', '  lua            .lua'), ('m4', '  m4             .m4'),
+  ('make', '  make           .mk .mak; makefile Makefile Makefile.Debug Makefile.Release'), ('matlab', '  matlab         .m'), ('mine', '  mine           .xyz .txt; Makefile'),
+  ('miscellaneous', '  miscellaneous  .qbk .w .ipp .patch; configure'), ('objc', '  objc           .m .h'), ('objcpp', '  objcpp         .mm .h'), ('ocaml', '  ocaml          .ml .mli'),
+  ('parrot', '  parrot         .pir .pasm .pmc .ops .pod .pg .tg'), ('perl', '  perl           .pl .pm .pod .t .psgi'), ('perltest', '  perltest       .t'),
+  ('php', '  php            .php .phpt .php3 .php4 .php5 .phtml'), ('plone', '  plone          .pt .cpt .metadata .cpy .py'), ('python', '  python         .py'), ('rake', '  rake           Rakefile'),
+  ('rr', '  rr             .R'), ('rst', '  rst            .rst'), ('ruby', '  ruby           .rb .rhtml .rjs .rxml .erb .rake .spec; Rakefile'), ('rust', '  rust           .rs'),
+  ('sass', '  sass           .sass .scss'), ('scala', '  scala          .scala'), ('scheme', '  scheme         .scm .ss'), ('shell', '  shell          .sh .bash .csh .tcsh .ksh .zsh .fish'),
+  ('smalltalk', '  smalltalk      .st'), ('smarty', '  smarty         .tpl'), ('sql', '  sql            .sql .ctl'), ('stylus', '  stylus         .styl'), ('tcl', '  tcl            .tcl .itcl .itk'),
+  ('tex', '  tex            .tex .cls .sty'), ('text', '  text           .txt; ChangeLog README'), ('tt', '  tt             .tt .tt2 .ttml'), ('vb', '  vb             .bas .cls .frm .ctl .vb .resx'),
+  ('verilog', '  verilog        .v .vh .sv'), ('vhdl', '  vhdl           .vhd .vhdl'), ('vim', '  vim            .vim'), ('xml', '  xml            .xml .dtd .xsl .xslt .ent'),
+  ('yaml', '  yaml           .yaml .yml')) t(type, value)""",
         "path_functions": f"""WITH d AS (SELECT {_SQL_PATH} AS path, strlen(text) AS n FROM documents)
 SELECT path, string_split(path, '/')[-1] AS base, array_to_string(string_split(path, '/')[:-2], '/') AS dir, CAST(4 AS BIGINT) AS n_parts, replace(path, '/', '+') || '+x' AS joined,
        path LIKE '/%' AS absolute, path AS shown, '0x' || lower(to_hex(n)) AS hex_length FROM d""",
