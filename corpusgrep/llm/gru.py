@@ -21,7 +21,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 6, 8, 8
 INPUT = WORD_DIM + CHAR_DIM
 #: Words whose inputs a task remembers.
 CACHED = 200_000
-#: Words of a window and from one window to the next.
+#: Words of a window, and from one window to the next in training; every window is scored.
 WINDOW, STEP = 32, 16
 #: Documents that a word or trigram needs in training before its log odds count.
 LEAST_SEEN = 4
@@ -48,7 +48,7 @@ def char_buckets(word: str) -> list[int]:
 
 
 def windows(n: int) -> list[tuple[int, int]]:
-    """Ranges of all overlapping windows over n words; the last ends with the text, and an empty text has one empty window."""
+    """Ranges of overlapping windows over n words, STEP apart, for training; the last ends with the text, and an empty text has one empty window."""
     if n <= WINDOW:
         return [(0, n)]
     starts = [*range(0, n - WINDOW, STEP), n - WINDOW]
@@ -201,16 +201,12 @@ class Scorer:
         if new:
             self._learn(new)
         flat = np.fromiter((r for ws in words for r in map(self.rows.__getitem__, ws)), np.int64)
-        bounds, owner, at = [], [], 0
-        for i, ws in enumerate(words):
-            some = windows(len(ws))
-            bounds += [(at + a, at + b) for a, b in some]
-            owner += [i] * len(some)
-            at += len(ws)
+        sizes = np.array([len(ws) for ws in words], np.int64)
+        counts = np.maximum(sizes - WINDOW, 0) + 1
+        begins = _ranges(np.cumsum(sizes) - sizes, counts)
+        ends = begins + np.repeat(np.minimum(sizes, WINDOW), counts)
         out = np.full(len(texts), -np.inf)
-        if bounds:
-            begins, ends = np.array(bounds, np.int64).T
-            np.maximum.at(out, np.array(owner), window_logits(self.p, self.table, flat, begins, ends))
+        np.maximum.at(out, np.repeat(np.arange(len(texts)), counts), window_logits(self.p, self.table, flat, begins, ends))
         return out
 
 

@@ -75,6 +75,15 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
     assert together[0] == together[-1]
 
 
+def test_every_window_is_scored():
+    rng = np.random.default_rng(4)
+    scorer = gru.Scorer({k: v.astype(np.float32) for k, v in random_model(6).items()})
+    words = rng.choice([f"w{i}" for i in range(40)], 150).tolist()
+    alone = scorer.logits([" ".join(words[a:a + gru.WINDOW]) for a in range(150 - gru.WINDOW + 1)])
+    assert alone[:: gru.STEP].max() < alone.max() - 1e-3
+    assert np.isclose(scorer.logits([" ".join(words)])[0], alone.max(), atol=1e-4)
+
+
 def tables(n, seed=0):
     rng = np.random.default_rng(seed)
     calm, bad = [f"calm{i}" for i in range(200)], ["nasty", "vile"]
