@@ -13,7 +13,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import slices
+from corpusgrep.llm.common import keep as keep_object
+from corpusgrep.llm.common import slices, small_batches, tidy
 from corpusgrep.llm.encoders import CACHED_CHARS, PART, Cache, byte_letters, byte_words, load, parts, plain
 
 _NEVER = np.int64(1) << 62
@@ -328,10 +328,9 @@ class BpeCodec:
         return b"".join([table[i] for i in ids.tolist() if 0 <= i < n]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def codec_of(path: str) -> BpeCodec:
     """The codec of this Python process, whose words the next tasks find as well."""
-    return BpeCodec(path)
+    return keep_object(f"codec {path}", lambda: BpeCodec(path))
 
 
 def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -340,6 +339,7 @@ def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids
     Null texts count as empty.  Kept columns named like the new ones must be renamed first.  No
     shuffle; a task holds about 4 MB of text, or one longer text, at a time.
     """
+    small_batches(df.sparkSession)
     rows = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +354,7 @@ def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids
                 [*keep, ids, decoded])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, {ids} array<int>, {decoded} string")
+    return rows.mapInArrow(tidy(run, True), f"{kinds}, {ids} array<int>, {decoded} string")
 
 
 def op6_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -20,19 +22,65 @@ RUN = 65_536
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and the executors are threads of this machine, as in tests, it is a folder of
+    our own; on a cluster a folder of one machine would lose data, so there it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = kept or "file://" + tempfile.mkdtemp(prefix="corpusgrep-")
         if not kept:
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Bytes of a batch for Python, by Spark's own limit, and that limit's default, which says that nobody has set it.
+_BATCH_LIMIT, _UNSET, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 #: For jobs that write a stage: adaptive execution joins small partitions up to its advisory size, so that a small
-#: stage makes few tasks and files, and batches for Python are small, so that executors need little memory beside the heap.
-SETTINGS = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: stage makes few tasks and files.
+SETTINGS = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python have about BATCH_BYTES in this session, unless it has a limit of its own.
+
+    The limit by rows that Spark has besides would let long texts make batches of any size.
+    """
+    if int(str(spark.conf.get(_BATCH_LIMIT)).removesuffix("b")) == _UNSET:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
+#: The one object that this Python process keeps from task to task, under its name.
+_kept: dict[str, object] = {}
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What make gives, kept by this Python process until a task of another kind begins."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """run, for Python workers that wait for other tasks afterwards: freed memory goes back to the system.
+
+    Unless run keeps something itself, what the tasks before have kept goes first.
+    """
+    def whole(batches: Iterator) -> Iterator:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+                trim(0)
+    return whole
 
 
 @contextmanager
@@ -53,6 +101,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._fs(self.root).deleteOnExit(self._path(self.root))
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from corpusgrep.llm.common import keep
+
 #: Words that each of the two generations of a cache holds, and the longest of them.
 CACHED = 200_000
 CACHED_CHARS = 64
@@ -124,7 +125,6 @@ class CachedEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=1)
 def cached_encoder(path: str, words) -> CachedEncoder:
     """The encoder of this Python process, whose words the next tasks find as well."""
-    return CachedEncoder(path, words)
+    return keep(f"encoder {path} {words.__name__}", lambda: CachedEncoder(path, words))

@@ -20,7 +20,7 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 6, 8, 8
 INPUT = WORD_DIM + CHAR_DIM
 #: Words whose inputs a task remembers.
-CACHED = 200_000
+CACHED = 50_000
 #: Words of a window, and from one window to the next in training; every window is scored.
 WINDOW, STEP = 32, 16
 #: Documents that a word or trigram needs in training before its log odds count.
@@ -28,6 +28,8 @@ LEAST_SEEN = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Steps of training at least; small samples get more rounds for it.
 LEAST_STEPS = 600
+#: Characters above which a text's words are scored part by part.
+LONG = 1 << 18
 #: Windows that go through the network together.
 TOGETHER = 512
 
@@ -193,10 +195,26 @@ class Scorer:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The highest window's logit of each whole text, all windows scored."""
-        words = [split(t) for t in texts]
+        out = np.empty(len(texts))
+        short = [i for i, t in enumerate(texts) if len(t or "") <= LONG]
+        if short:
+            out[short] = self._windows([split(texts[i]) for i in short])
+        for i, t in enumerate(texts):
+            if len(t or "") > LONG:  # part by part, each with the last words of the one before, so that all windows are seen
+                out[i], part, more = -np.inf, [], False
+                for m in _WORD.finditer(t.lower()):
+                    part.append(m[0])
+                    if len(part) == LONG // 4:
+                        out[i], part, more = max(out[i], self._windows([part])[0]), part[1 - WINDOW:], True
+                if not more or len(part) >= WINDOW:
+                    out[i] = max(out[i], self._windows([part])[0])
+        return out
+
+    def _windows(self, words: list[list[str]]) -> np.ndarray:
+        """The highest window's logit of each list of words."""
         new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.rows))
         if len(self.rows) + len(new) > CACHED:  # start over, so that the table stays small
-            self.rows, self.table = {}, self.table[: 1 << 14]
+            self.rows, self.table = {}, self.table[: 1 << 14].copy()
             new = list(dict.fromkeys(w for ws in words for w in ws))
         if new:
             self._learn(new)
@@ -205,8 +223,8 @@ class Scorer:
         counts = np.maximum(sizes - WINDOW, 0) + 1
         begins = _ranges(np.cumsum(sizes) - sizes, counts)
         ends = begins + np.repeat(np.minimum(sizes, WINDOW), counts)
-        out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, np.repeat(np.arange(len(texts)), counts), window_logits(self.p, self.table, flat, begins, ends))
+        out = np.full(len(words), -np.inf)
+        np.maximum.at(out, np.repeat(np.arange(len(words)), counts), window_logits(self.p, self.table, flat, begins, ends))
         return out
 
 

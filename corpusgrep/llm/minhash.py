@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices
+from corpusgrep.llm.common import Stages, slices, tidy
 from corpusgrep.llm.components import components
 from corpusgrep.llm.words import LOWER, find_words, hash_ranges, hash_windows, mix, text_bytes
 
@@ -94,7 +94,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 [batch.column("doc_id"), batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary())],
                 ["doc_id", "h", "n_shingles", "node", "signature"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, n_shingles long, node binary, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, h long, n_shingles long, node binary, signature binary")
 
 
 def _similar_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed, pa.binary())], ["doc_id", "h", "z"])
 
         wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("one.doc_id").alias("k"), F.col("one.h").alias("g"))
-        packed = self.documents.withColumn("h", F.xxhash64("t")).mapInArrow(squeeze, "doc_id long, h long, z binary")
+        packed = self.documents.withColumn("h", F.xxhash64("t")).mapInArrow(tidy(squeeze), "doc_id long, h long, z binary")
         found = packed.join(wanted, packed["doc_id"].eqNullSafe(wanted["k"]) & (packed["h"] == wanted["g"]))
         self.texts = self.stages.write(found.dropDuplicates(["node"]).select("node", "z"), "texts")
 
@@ -230,10 +230,10 @@ class NearDuplicates:
         joined = pairs.join(marks.withColumnsRenamed({"node": "a", "n": "na", "s": "sa"}), "a").join(
             marks.withColumnsRenamed({"node": "b", "n": "nb", "s": "sb"}), "b")
         near = joined.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b", "sa", "sb").mapInArrow(
-            _similar_signatures, "a binary, b binary")
+            tidy(_similar_signatures), "a binary, b binary")
         texts = near.join(self.texts.withColumnsRenamed({"node": "a", "z": "za"}), "a").join(
             self.texts.withColumnsRenamed({"node": "b", "z": "zb"}), "b").select("a", "b", "za", "zb")
-        return texts.mapInArrow(_similar_sets, "a binary, b binary")
+        return texts.mapInArrow(tidy(_similar_sets), "a binary, b binary")
 
 
 def _decide(work: NearDuplicates) -> DataFrame:

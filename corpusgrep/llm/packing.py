@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, gapless_rank, slices
+from corpusgrep.llm.common import Stages, gapless_rank, slices, small_batches, tidy
 from corpusgrep.llm.encoders import cached_encoder, byte_words
 
 #: Partners tried for the second and third place of a pattern, the commonest lengths first.
@@ -120,6 +120,7 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc
     A null text is empty.  Only texts of over capacity ids are cut: all pieces but the first have
     capacity ids, the first what is left over.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -138,7 +139,7 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc
                 [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 ["doc_id", "piece", "start", "length", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(tidy(run, True), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack(spark: SparkSession, df: DataFrame, order: list[str], capacity: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices
+from corpusgrep.llm.common import Stages, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, confidence that a pattern needs, weight of the prior against a pattern, movement of all scores that counts as rest.
@@ -184,7 +184,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), pa.array(bases, pa.list_(span)), pa.array(places, pa.list_(place))], ["doc_id", "k", "base", "places"])
 
-    return rows.mapInArrow(run, "doc_id long, k long, base array<struct<start:int,kind:int,end:int>>, "
+    return rows.mapInArrow(tidy(run), "doc_id long, k long, base array<struct<start:int,kind:int,end:int>>, "
                                 "places array<struct<start:int,end:int,kind:int,instance:string,context:string>>")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices
+from corpusgrep.llm.common import Stages, slices, small_batches, tidy
 from corpusgrep.llm.words import find_words, hash_ranges, hash_windows, mix, text_bytes
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_lines", "n_closed_lines", "n_letterless", "n_marked_words"]
@@ -83,6 +83,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty.  No shuffle; a task holds about 4 MB of text, or one longer text.
     """
     keep = [c for c in df.columns if c != text and c not in FEATURES]
+    small_batches(df.sparkSession)
     rows = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[f], pa.int64()) for f in FEATURES)], [*keep, *FEATURES])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{f} long" for f in FEATURES)]))
+    return rows.mapInArrow(tidy(run), ", ".join([*kinds, *(f"{f} long" for f in FEATURES)]))
 
 
 def _rule(good: Column, bad: Column) -> Column:

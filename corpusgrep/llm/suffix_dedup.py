@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices
+from corpusgrep.llm.common import Stages, slices, tidy
 from corpusgrep.llm.suffix_family import SuffixFamily
 from corpusgrep.llm.words import BASES, INVERSES, hash_ranges, mix, powers, text_bytes
 
@@ -182,7 +182,7 @@ class RepeatedStrings:
     def find(self) -> DataFrame:
         """(doc_id, k, starts): starts are (start, ends and starts of repeated strings from there), a list for each row."""
         stages = self.stages
-        all_runs = stages.write(self.rows.mapInArrow(_find_runs, "doc_id long, k long, v long, h long, start long, n int, own boolean"), "runs")
+        all_runs = stages.write(self.rows.mapInArrow(tidy(_find_runs), "doc_id long, k long, v long, h long, start long, n int, own boolean"), "runs")
         again = all_runs.groupBy("v").agg(F.count("*").alias("c"), F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("o")).where(
             "c > 1 or o").select("v", (F.col("x") != F.col("y")).alias("mixed"))
         some = stages.write(all_runs.join(again, "v"), "some")
@@ -202,19 +202,19 @@ class RepeatedStrings:
         """The bytes of one run of each content."""
         parts = wanted.groupBy(F.col("one.doc_id").alias("d"), F.col("one.k").alias("k2")).agg(
             F.collect_list(F.struct("v", "h", F.col("one.start").alias("start"), "n")).alias("parts"))
-        packed = self.rows.mapInArrow(_squeeze("t", ["doc_id", "k"]), "doc_id long, k long, z binary")
+        packed = self.rows.mapInArrow(tidy(_squeeze("t", ["doc_id", "k"])), "doc_id long, k long, z binary")
         cut = packed.join(parts, packed["doc_id"].eqNullSafe(parts["d"]) & (packed["k"] == parts["k2"])).select("z", "parts")
-        return self.stages.write(cut.mapInArrow(_cut, "v long, h long, piece binary").dropDuplicates(["v", "h"]), "pieces")
+        return self.stages.write(cut.mapInArrow(tidy(_cut), "v long, h long, piece binary").dropDuplicates(["v", "h"]), "pieces")
 
     def _matched(self, pieces: DataFrame, contents: DataFrame) -> DataFrame:
         """(v, h, spans): starts in each piece whose strings are found again in a piece."""
         many = pieces.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("v")
         few = pieces.join(many, "v", "left_anti")
         tasks = max(1, -(-pieces.count() // PIECES))
-        out = few.repartition(tasks, "v").mapInArrow(_match, "v long, h long, spans array<int>")  # read once, so not written
+        out = few.repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")  # read once, so not written
         if many.isEmpty():
             return out
-        each = self.stages.write(pieces.join(many, "v", "left_semi").mapInArrow(_strings, "v long, h long, at int, x long, y long"), "each")
+        each = self.stages.write(pieces.join(many, "v", "left_semi").mapInArrow(tidy(_strings), "v long, h long, at int, x long, y long"), "each")
         often = each.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
         starts = each.join(often, ["x", "y"], "left_semi")
         lists = starts.groupBy("v", "h").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
@@ -236,7 +236,7 @@ def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(key).cast("long").alias("__d"),
                      F.xxhash64(key, text).alias("__k"), F.col(text).alias("__t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    packed = rows.mapInArrow(_squeeze("__t", [*names, "__d", "__k"]), f"{kinds}, z binary")
+    packed = rows.mapInArrow(tidy(_squeeze("__t", [*names, "__d", "__k"])), f"{kinds}, z binary")
     joined = packed.join(spans, packed["__d"].eqNullSafe(spans["doc_id"]) & (packed["__k"] == spans["k"]), "left").select(*names, "z", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
                 [*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    done = joined.mapInArrow(remove, ", ".join(filter(None, [kinds, "__kept binary, __n_bytes long, __n_removed long, __n_spans long"])))
+    done = joined.mapInArrow(tidy(remove), ", ".join(filter(None, [kinds, "__kept binary, __n_bytes long, __n_removed long, __n_spans long"])))
     return done.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "__kept", "__n_bytes", "__n_removed", "__n_spans")
 
 

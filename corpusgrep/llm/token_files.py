@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, partitions_for, settings
+from corpusgrep.llm.common import Stages, partitions_for, settings, small_batches, tidy
 from corpusgrep.llm.elias_fano import EliasFano
 from corpusgrep.llm.encoders import cached_encoder, lower_words
 
@@ -83,6 +83,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     a hash of the text.  The rows are range-partitioned by key and that hash, so no key's rows need
     to fit one task, and a segment is the most that a task holds.  An empty table writes no segment.
     """
+    small_batches(df.sparkSession)
     width = 2 if max(end_id, _largest_id(tokenizer)) < 1 << 16 else 4
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(partitions_for(rows, FILE_MB), "k", "h").sortWithinPartitions("k", "h")
@@ -109,7 +110,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
             yield segment()
 
     with settings(df.sparkSession):
-        rows.select("k", "t").mapInArrow(pack, "b binary").select(F.col("b").cast("string")).write.mode("overwrite").text(path)
+        rows.select("k", "t").mapInArrow(tidy(pack, True), "b binary").select(F.col("b").cast("string")).write.mode("overwrite").text(path)
 
 
 def _largest_id(tokenizer: str) -> int:
@@ -139,7 +140,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                             pa.array(doc_ids[a:b], pa.int64()), pa.array(starts[a:b], pa.int64()), pa.array(ids, pa.binary()),
                         ], ["file", "segment", "place", "doc_id", "local_start", "ids"])
 
-    return files.mapInArrow(unpack, "file string, segment int, place long, doc_id long, local_start long, ids binary")
+    return files.mapInArrow(tidy(unpack), "file string, segment int, place long, doc_id long, local_start long, ids binary")
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +161,7 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(before[:-1].tolist(), pa.int64()), pa.array([int(before[-1])] * len(found), pa.int64()),
                 ], ["file", "segment", "inside", "tokens"])
 
-    return files.mapInArrow(heads, "file string, segment int, inside long, tokens long")
+    return files.mapInArrow(tidy(heads), "file string, segment int, inside long, tokens long")
 
 
 def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

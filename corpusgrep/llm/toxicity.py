@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrep.llm import gru
-from corpusgrep.llm.common import slices
+from corpusgrep.llm.common import Stages, slices, small_batches, tidy
 
 #: Labelled documents of each class that the network is fitted to, at most: those of least hash.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
 THRESHOLD = 0.5
+#: Bytes of text that all samples together have at most, half for each class, and those that are scored together.
+SAMPLE_BYTES = 32 << 20
+SLICE = 1 << 20
 
 
 def held_out(key: Column) -> Column:
@@ -25,45 +28,57 @@ def held_out(key: Column) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, np.ndarray]:
     """Train on a bounded sample of the labelled rows that aren't held out.
 
-    The sample has TOXIC_SAMPLE and CLEAN_SAMPLE documents at most, chosen by a hash of the id, so
-    it is the same in every run; only these texts come to the driver.  Null labels and ids are
-    ignored; of several labels of one id the greatest counts.  The labels are the smaller side of
-    the join, and adaptive execution chooses how it is done.
+    The sample has TOXIC_SAMPLE and CLEAN_SAMPLE documents at most, those of least hash of the id,
+    as far as their texts come to half of SAMPLE_BYTES for each class (a text that would go beyond
+    it is left out), so it is the same in every run; only these texts come to the driver.  Null
+    labels, ids and texts are ignored; of several labels of one id the greatest counts, and of
+    several texts the least.  The labels are the smaller side of the join, and adaptive execution
+    chooses how it is done.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__label"))
     hashed = known.withColumn("__hash", F.xxhash64("__key"))
     toxic = hashed.where(F.col("__label") == 1).orderBy("__hash", "__key").limit(TOXIC_SAMPLE)
     clean = hashed.where(F.col("__label") == 0).orderBy("__hash", "__key").limit(CLEAN_SAMPLE)
-    chosen = {r["__key"]: r["__label"] for r in toxic.unionByName(clean).select("__key", "__label").collect()}
+    chosen = {r["__key"]: (int(r["__label"]), r["__hash"]) for r in toxic.unionByName(clean).collect()}
     if not chosen:
         return gru.train([], [])
-    rows = documents.where(F.col(key).isin(list(chosen))).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    rows = rows.groupBy("__key").agg(F.min("__text").alias("__text")).collect()  # at most the sample
-    rows = sorted((r["__key"], r["__text"]) for r in rows if r["__text"] is not None)
-    return gru.train([t for _, t in rows], [int(chosen[k]) for k, _ in rows])
+    rows = documents.where(F.col(key).isin(list(chosen)) & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = Stages(documents.sparkSession, "toxicity").write(rows.groupBy("__key").agg(F.min("__text").alias("__text")), "sample")
+    sizes = {r["__key"]: r["n"] for r in rows.select("__key", F.octet_length("__text").alias("n")).collect()}  # at most the sample
+    taken, spent = [], [0, 0]
+    for k in sorted(sizes, key=lambda k: (chosen[k][1], k)):
+        if spent[chosen[k][0]] + sizes[k] <= SAMPLE_BYTES // 2:
+            spent[chosen[k][0]] += sizes[k]
+            taken.append(k)
+    if not taken:
+        return gru.train([], [])
+    texts = sorted((r["__key"], r["__text"]) for r in rows.where(F.col("__key").isin(taken)).collect())
+    return gru.train([t for _, t in texts], [chosen[k][0] for k, _ in texts])
 
 
-def score(df: DataFrame, parameters: dict[str, np.ndarray], text: str = "text", into: str = "score", keep_text: bool = False) -> DataFrame:
-    """df with the score, 0 to 1, of every whole text; the text itself only if keep_text.
+def score(df: DataFrame, parameters: dict[str, np.ndarray], text: str = "text", into: str = "score") -> DataFrame:
+    """df with the score, 0 to 1, of every whole text; a column named like the score is replaced.
 
     A text's score is that of its highest window, and all overlapping windows are scored.  A null
-    or empty text gets the score of an empty window.  A column named like the score is replaced.
-    No shuffle; a task holds about 4 MB of text, or one longer text.
+    or empty text gets the score of an empty window.  Repeated rows get one score each, the same
+    one; an empty table gives an empty result.  No shuffle, and only texts go to Python, in batches
+    of bounded size; a longer text is a batch of its own, and its words are taken part by part.
     """
-    keep = [c for c in df.columns if c != into and (keep_text or c != text)]
-    names = [f"__c{i}" for i in range(len(keep))]
-    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).alias("__text"))
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(parameters)  # about 1 MB, whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = gru.Scorer(sent.value)
-        for batch in slices(batches, "__text"):
-            z = scorer.logits(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, "__score"])
+        for whole in texts:
+            for batch in slices([pa.RecordBatch.from_arrays([whole], ["t"])], "t", SLICE):
+                yield pa.array(1 / (1 + np.exp(-scorer.logits(batch.column("t").to_pylist()))), pa.float64())
+
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(texts)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    done = rows.mapInArrow(run, ", ".join(filter(None, [kinds, "__score double"])))
-    return done.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("__score").alias(into))
+    # Not deterministic in name only: so that no plan computes it twice.
+    return df.withColumn(into, scores.asNondeterministic()(F.col(text)))
 
 
 def op7_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
