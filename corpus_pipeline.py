@@ -15,7 +15,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones among them, scores below the threshold."""
     parameters = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, parameters, into="__toxicity", keep_text=True)
+    scored = toxicity.score(docs, parameters, into="__toxicity")
     return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
