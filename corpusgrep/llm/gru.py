@@ -1,18 +1,24 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-A window of words is read in both directions; an attention layer weighs the
-states, and their weighted sum gives one logit.  A word's input joins an
-embedding of the word and the mean embedding of its character trigrams, both
-looked up by hash, each with one more component that starts as the log odds of
-a toxic document given the word or trigram and is trained on like the others.
-A document's logit is that of its highest window.
+A text is read in both directions; in each window of words an attention layer
+weighs the states, and their weighted sum gives one logit.  A word's input
+joins an embedding of the word and the mean embedding of its character
+trigrams, both looked up by hash, each with one more component that starts as
+the log odds of a toxic document given the word or trigram and is trained on
+like the others.  A document's logit is that of its highest window.
+
+So that every window can be scored at the cost of reading a text a few times,
+windows share the states of their words: the text is read in pieces of WINDOW
+words, in READINGS ways that differ in where the pieces begin, and a window is
+pooled from the states of each reading in turn.  A window that is a piece of a
+reading is scored just as in training.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -20,9 +26,10 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 13
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 6, 8, 8
 INPUT = WORD_DIM + CHAR_DIM
 #: Words whose inputs a task remembers.
-CACHED = 50_000
-#: Words of a window, and from one window to the next in training; every window is scored.
-WINDOW, STEP = 32, 16
+CACHED = 150_000
+#: Words of a window, readings of a text, and words from the beginning of one reading's pieces to that of the next one's.
+WINDOW, READINGS = 32, 4
+STEP = WINDOW // READINGS
 #: Documents that a word or trigram needs in training before its log odds count.
 LEAST_SEEN = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.01
@@ -30,9 +37,10 @@ EPOCHS, BATCH, RATE = 6, 32, 0.01
 LEAST_STEPS = 600
 #: Characters above which a text's words are scored part by part.
 LONG = 1 << 18
-#: Windows that go through the network together.
-TOGETHER = 512
+#: Words of texts that are read together in training.
+TOGETHER = 1 << 17
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
@@ -44,17 +52,13 @@ def word_bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % WORD_BUCKETS
 
 
-def char_buckets(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [zlib.crc32(w[i:i + 3].encode()) % CHAR_BUCKETS for i in range(len(w) - 2)] or [0]
-
-
-def windows(n: int) -> list[tuple[int, int]]:
-    """Ranges of overlapping windows over n words, STEP apart, for training; the last ends with the text, and an empty text has one empty window."""
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = [*range(0, n - WINDOW, STEP), n - WINDOW]
-    return [(a, a + WINDOW) for a in starts]
+def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character trigrams of ^word$, of all words on end, and how many each word has."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    mixed = codes[:-2] * _MIX[0] + codes[1:-1] * _MIX[1] + codes[2:] * _MIX[2]
+    mixed = (mixed ^ mixed >> np.uint64(31)) * _MIX[0]
+    return (mixed >> np.uint64(40)).astype(np.int32)[_ranges(np.cumsum(sizes + 2) - sizes - 2, sizes)] % CHAR_BUCKETS, sizes
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,46 +137,77 @@ def backward(p: dict, real: np.ndarray, cache: tuple, d_logit: np.ndarray) -> tu
     return g, out[0], out[1]
 
 
-def infer(p: dict, gates: np.ndarray) -> np.ndarray:
-    """forward() for full windows, (WINDOW, n, 2, 3 * HIDDEN) gates, both directions in one step and nothing kept."""
-    steps, n = gates.shape[:2]
+def states(p: dict, forth: np.ndarray, back: np.ndarray, flat: np.ndarray, sizes: np.ndarray, reading: int) -> np.ndarray:
+    """Both states of every word of texts of these sizes: flat has their words, rows of the tables of gates of each direction."""
+    first = np.cumsum(sizes) - sizes
+    ahead = -reading * STEP % WINDOW  # words that the first piece lacks
+    pieces = np.where(sizes > 0, -(-(sizes + ahead) // WINDOW), 0)
+    begin = _ranges(np.zeros_like(pieces), pieces) * WINDOW - ahead + np.repeat(first, pieces)
+    end = np.minimum(begin + WINDOW, np.repeat(first + sizes, pieces))
+    begin = np.maximum(begin, np.repeat(first, pieces))
+    order = np.argsort(begin - end, kind="stable")  # longest first: those that a step doesn't reach come last
+    begin, end = begin[order], end[order]
+    reach = np.searchsorted(begin - end, -np.arange(WINDOW))  # pieces of more than so many words
     half = np.ones(3 * HIDDEN, np.float32)
     half[: 2 * HIDDEN] = 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
     u = np.stack([p["Uf"], p["Ub"]]) * half
-    h, states = np.zeros((2, n, HIDDEN), np.float32), np.empty((steps, n, 2, HIDDEN), np.float32)
-    for t in range(steps):
-        x = np.stack([gates[t, :, 0], gates[steps - 1 - t, :, 1]])
+    out, h = np.empty((len(flat), 2 * HIDDEN), np.float32), np.zeros((2, len(begin), HIDDEN), np.float32)
+    for t in range(int((end - begin).max(initial=0))):
+        n = int(reach[t])
+        f, b = begin[:n] + t, end[:n] - 1 - t
+        x = np.stack([forth[flat[f]], back[flat[b]]])
+        h = h[:, :n]
         mine = h @ u
         zr = np.tanh(x[..., : 2 * HIDDEN] * np.float32(0.5) + mine[..., : 2 * HIDDEN])
         zr += 1
         zr *= np.float32(0.5)
         new = np.tanh(x[..., 2 * HIDDEN:] + zr[..., HIDDEN:] * mine[..., 2 * HIDDEN:])
         h = new + zr[..., :HIDDEN] * (h - new)
-        states[t, :, 0], states[steps - 1 - t, :, 1] = h[0], h[1]
-    s = states.reshape(steps, n, 2 * HIDDEN)
-    e = np.tanh(s @ p["A"] + p["a"]) @ p["v"]
-    e = np.exp(e - e.max(0))
-    e /= e.sum(0)
-    return (e * (s @ p["w"])).sum(0) + p["c"][0]
-
-
-def window_logits(p: dict, table: np.ndarray, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Logits of the windows [begin, end) of flat, rows of a (words, 2, 3 * HIDDEN) table of gates."""
-    out, whole = np.zeros(len(begins)), ends - begins == WINDOW
-    steps = np.arange(WINDOW)[:, None]
-    for at, full in ((np.flatnonzero(whole), True), (np.flatnonzero(~whole), False)):
-        for k in range(0, len(at), TOGETHER):
-            some = at[k:k + TOGETHER]
-            place = begins[some][None, :] + steps
-            if full:
-                out[some] = infer(p, table[flat[place]])
-            else:
-                real = place < ends[some][None, :]
-                gates = table[np.append(flat, 0)[np.where(real, place, len(flat))]]
-                out[some] = forward(p, gates[:, :, 0], gates[:, :, 1], real)[0]
+        out[f, :HIDDEN], out[b, HIDDEN:] = h[0], h[1]
     return out
 
 
+def window_logits(p: dict, forth: np.ndarray, back: np.ndarray, flat: np.ndarray, sizes: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all windows of each text in one reading, and how many windows it has; an empty text has an empty one.
+
+    A window's pooled sums are differences of running sums over the words.
+    """
+    s = states(p, forth, back, flat, sizes, reading)
+    e = np.exp(np.clip((np.tanh(s @ p["A"] + p["a"]) @ p["v"]).astype(np.float64), -20, 20))
+    sums = np.zeros((2, len(flat) + 1))
+    np.cumsum(e, out=sums[0, 1:])
+    np.cumsum(e * (s @ p["w"]), out=sums[1, 1:])
+    counts = np.maximum(sizes - WINDOW, 0) + 1
+    begins = _ranges(np.cumsum(sizes) - sizes, counts)
+    ends = begins + np.repeat(np.minimum(sizes, WINDOW), counts)
+    share = sums[0, ends] - sums[0, begins]
+    return (sums[1, ends] - sums[1, begins]) / np.where(share > 0, share, 1) + p["c"][0], counts
+
+
+def highest(p: dict, forth: np.ndarray, back: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The highest logit of all windows of each text in all readings."""
+    found = []
+    for reading in range(READINGS):
+        z, counts = window_logits(p, forth, back, flat, sizes, reading)
+        found.append(np.maximum.reduceat(z, np.cumsum(counts) - counts))
+    return np.max(found, 0)
+
+
+def best_pieces(p: dict, forth: np.ndarray, back: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the highest of the windows begins that are a piece of every other reading, or end with the text."""
+    best, at = np.full(len(sizes), -np.inf), np.zeros(len(sizes), np.int64)
+    for reading in range(0, READINGS, 2):
+        z, counts = window_logits(p, forth, back, flat, sizes, reading)
+        first = np.cumsum(counts) - counts
+        nth = np.arange(len(z)) - np.repeat(first, counts)
+        z = np.where((nth % WINDOW == reading * STEP) | (nth == np.repeat(counts, counts) - 1), z, -np.inf)
+        top = np.maximum.reduceat(z, first)
+        hits = np.flatnonzero(z == np.repeat(top, counts))
+        here = hits[np.searchsorted(hits, first)] - first
+        best, at = np.maximum(best, top), np.where(top > best, here, at)
+    return at
+
+
 class Scorer:
     """A trained model; words' gate inputs are computed once and looked up."""
 
@@ -180,17 +215,16 @@ class Scorer:
         self.p = p
         self.w, self.b = np.concatenate([p["Wf"], p["Wb"]], 1), np.concatenate([p["bf"], p["bb"]])
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, 2, 3 * HIDDEN), np.float32)
+        self.table = np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        grams = [char_buckets(w) for w in words]
-        sizes = np.array([len(g) for g in grams])
-        chars = np.add.reduceat(self.p["char"][np.array([x for g in grams for x in g])], np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)
+        grams, sizes = char_buckets(words)
+        chars = np.add.reduceat(self.p["char"][grams], np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)
         x = np.concatenate([self.p["word"][np.array([word_bucket(w) for w in words])], chars], 1)
         first = len(self.rows)
-        if first + len(words) > len(self.table):
-            self.table = np.concatenate([self.table[:first], np.zeros((first + 2 * len(words), 2, 3 * HIDDEN), np.float32)])
-        self.table[first:first + len(words)] = (x @ self.w + self.b).reshape(-1, 2, 3 * HIDDEN)
+        if first + len(words) > self.table.shape[1]:
+            self.table = np.concatenate([self.table[:, :first], np.zeros((2, first + 2 * len(words), 3 * HIDDEN), np.float32)], 1)
+        self.table[:, first:first + len(words)] = (x @ self.w + self.b).reshape(-1, 2, 3 * HIDDEN).transpose(1, 0, 2)
         self.rows.update(zip(words, range(first, first + len(words)), strict=True))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
@@ -201,31 +235,36 @@ class Scorer:
             out[short] = self._windows([split(texts[i]) for i in short])
         for i, t in enumerate(texts):
             if len(t or "") > LONG:  # part by part, each with the last words of the one before, so that all windows are seen
-                out[i], part, more = -np.inf, [], False
-                for m in _WORD.finditer(t.lower()):
-                    part.append(m[0])
-                    if len(part) == LONG // 4:
-                        out[i], part, more = max(out[i], self._windows([part])[0]), part[1 - WINDOW:], True
-                if not more or len(part) >= WINDOW:
-                    out[i] = max(out[i], self._windows([part])[0])
+                out[i] = max(self._windows([part])[0] for part in _parts(t))
         return out
 
     def _windows(self, words: list[list[str]]) -> np.ndarray:
         """The highest window's logit of each list of words."""
         new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.rows))
         if len(self.rows) + len(new) > CACHED:  # start over, so that the table stays small
-            self.rows, self.table = {}, self.table[: 1 << 14].copy()
+            self.rows, self.table = {}, np.zeros((2, 1 << 14, 3 * HIDDEN), np.float32)
             new = list(dict.fromkeys(w for ws in words for w in ws))
         if new:
             self._learn(new)
         flat = np.fromiter((r for ws in words for r in map(self.rows.__getitem__, ws)), np.int64)
         sizes = np.array([len(ws) for ws in words], np.int64)
-        counts = np.maximum(sizes - WINDOW, 0) + 1
-        begins = _ranges(np.cumsum(sizes) - sizes, counts)
-        ends = begins + np.repeat(np.minimum(sizes, WINDOW), counts)
-        out = np.full(len(words), -np.inf)
-        np.maximum.at(out, np.repeat(np.arange(len(words)), counts), window_logits(self.p, self.table, flat, begins, ends))
-        return out
+        return highest(self.p, *self.table, flat, sizes)
+
+
+def _parts(text: str) -> Iterator[list[str]]:
+    """Words of a long text, part by part.
+
+    A part begins with the last pieces of the one before, so that all windows are in one.
+    """
+    part, new = [], 0
+    for m in _WORD.finditer(text.lower()):
+        part.append(m[0])
+        new += 1
+        if len(part) == LONG // 4:
+            yield part
+            part, new = part[-2 * WINDOW:], 0
+    if new or not part:
+        yield part
 
 
 def _log_odds(seen: np.ndarray, totals: np.ndarray, less: np.ndarray) -> np.ndarray:
@@ -238,21 +277,17 @@ def _log_odds(seen: np.ndarray, totals: np.ndarray, less: np.ndarray) -> np.ndar
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters fitted to documents' labels.  The log odds that a document trains with leave it out itself.
 
-    In every round the highest window of each document, and of clean ones also a random one, is
-    scored and learnt from.  With one class only, or no documents, the odds stay 0 and the bias
+    In every round the highest piece of each document, and of clean ones also a random window, is
+    learnt from.  With one class only, or no documents, the odds stay 0 and the bias
     tells the class.
     """
     p, y = new_parameters(seed), np.array(labels, np.int64)
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split(t)], np.int32) for t in texts]
     buckets = np.fromiter(map(word_bucket, vocabulary), np.int32, len(vocabulary))
-    grams, gram_sizes = array("i"), np.zeros(len(vocabulary), np.int64)
-    for i, w in enumerate(vocabulary):
-        some = char_buckets(w)
-        grams.extend(some)
-        gram_sizes[i] = len(some)
+    gram_flat, gram_sizes = char_buckets(list(vocabulary))
+    gram_first = np.cumsum(gram_sizes) - gram_sizes
     del vocabulary
-    gram_flat, gram_first = np.frombuffer(grams, np.int32) if len(grams) else np.zeros(0, np.int32), np.cumsum(gram_sizes) - gram_sizes
     totals = np.array([(y == 0).sum(), (y == 1).sum()])
     word_seen, char_seen = np.zeros((WORD_BUCKETS, 2)), np.zeros((CHAR_BUCKETS, 2))
     for d, c in zip(ids, y.tolist(), strict=True):
@@ -267,14 +302,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
         return p
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    spans = lambda d: windows(len(ids[d]))
+    span = lambda d, a: (d, a, min(len(ids[d]), a + WINDOW))
 
     def gates_of(c: int) -> np.ndarray:
         """Gates of all words for documents of class c, without their own counts."""
-        out = np.zeros((max(1, len(buckets)), 2, 3 * HIDDEN), np.float32)
+        out = np.zeros((2, max(1, len(buckets)), 3 * HIDDEN), np.float32)
         for k in range(0, len(buckets), 8192):
             x = _inputs(p, left_out[c], np.arange(k, min(len(buckets), k + 8192)), buckets, gram_flat, gram_first, gram_sizes)
-            out[k:k + len(x), 0], out[k:k + len(x), 1] = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
+            out[0, k:k + len(x)], out[1, k:k + len(x)] = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
         return out
 
     def layout(chosen: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,21 +318,17 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> dict[str
             place[: b - a, k], real[: b - a, k] = ids[d][a:b], True
         return place, real
 
-    flat = np.concatenate(ids)
-    base = np.cumsum([0, *map(len, ids)])
-    #: Of all windows, by class: document, number in it, begin and end in flat.
-    every = {c: np.array([(d, i, a + base[d], b + base[d]) for d in np.flatnonzero(y == c).tolist() for i, (a, b) in enumerate(windows(len(ids[d])))], np.int32) for c in (0, 1)}
+    lengths = np.array([len(d) for d in ids], np.int64)
     step, rounds = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // (len(ids) + int(totals[0]))))
     for epoch in range(rounds):
         best = np.zeros(len(ids), np.int64)
         for c in (0, 1):
-            owner, nth, begins, ends = every[c].T.astype(np.int64)
-            z = window_logits(p, gates_of(c), flat, begins, ends)
-            order = np.lexsort((z, owner))
-            last = np.append(owner[order][1:] != owner[order][:-1], True)
-            best[owner[order][last]] = nth[order][last]
-        chosen = [(d, *spans(d)[best[d]]) for d in range(len(ids))]
-        chosen += [(d, *(some := spans(d))[rng.integers(len(some))]) for d in np.flatnonzero(y == 0).tolist()]
+            forth, back = gates_of(c)
+            own = np.flatnonzero(y == c)
+            for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(lengths[own]) // TOGETHER)) + 1):
+                best[part] = best_pieces(p, forth, back, np.concatenate([ids[d] for d in part.tolist()]), lengths[part])
+        chosen = [span(d, int(best[d])) for d in range(len(ids))]
+        chosen += [span(d, int(rng.integers(max(1, lengths[d] - WINDOW + 1)))) for d in np.flatnonzero(y == 0).tolist()]
         order = rng.permutation(len(chosen))
         weight = np.where(y == 1, min(3.0, totals[0] / totals[1]), 1.0)
         for k in range(0, len(order), BATCH):

@@ -17,7 +17,7 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2000
 THRESHOLD = 0.5
 #: Bytes of text that all samples together have at most, half for each class, and those that are scored together.
 SAMPLE_BYTES = 32 << 20
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def held_out(key: Column) -> Column:

@@ -51,17 +51,70 @@ def test_gradients():
 
 def test_fast_path_is_the_network():
     p = {k: v.astype(np.float32) for k, v in random_model(3).items()}
-    gates = np.random.default_rng(0).normal(size=(gru.WINDOW, 6, 2, 3 * gru.HIDDEN)).astype(np.float32)
-    want, _ = gru.forward(p, gates[:, :, 0], gates[:, :, 1], np.ones((gru.WINDOW, 6), bool))
-    assert np.allclose(gru.infer(p, gates), want, atol=1e-4)
+    rng = np.random.default_rng(0)
+    forth, back = rng.normal(size=(2, 50, 3 * gru.HIDDEN)).astype(np.float32)
+    sizes = np.array([gru.WINDOW, 5, 0, gru.WINDOW, 1])
+    flat, first = rng.integers(0, 50, sizes.sum()), np.cumsum(sizes) - sizes
+    steps = np.arange(gru.WINDOW)[:, None]
+    place, real = np.where(steps < sizes, first + steps, 0), steps < sizes
+    want, _ = gru.forward(p, forth[flat[place]], back[flat[place]], real)
+    assert np.allclose(gru.window_logits(p, forth, back, flat, sizes, 0)[0], want, atol=1e-4)
+
+
+def gram_bucket(gram):
+    mixed = sum(ord(c) * int(m) for c, m in zip(gram, gru._MIX, strict=True)) & 0xFFFFFFFFFFFFFFFF
+    return ((mixed ^ mixed >> 31) * int(gru._MIX[0]) & 0xFFFFFFFFFFFFFFFF) >> 40 & gru.CHAR_BUCKETS - 1
+
+
+def one_by_one(p, text):
+    """The score by its definition, in plain loops: every reading, every word's states, every window."""
+    rows = []
+    for w in gru.split(text):
+        chars = np.mean([p["char"][gram_bucket(f"^{w}$"[i:i + 3])] for i in range(len(w))], 0)
+        rows.append(np.concatenate([p["word"][zlib.crc32(w.encode()) % gru.WORD_BUCKETS], chars]))
+    if not rows:
+        return p["c"][0]
+
+    def read(some, side):
+        h, out, n = np.zeros(gru.HIDDEN), [], gru.HIDDEN
+        for x in some:
+            g, m = x @ p[f"W{side}"] + p[f"b{side}"], h @ p[f"U{side}"]
+            z, r = 1 / (1 + np.exp(-g[:n] - m[:n])), 1 / (1 + np.exp(-g[n:2 * n] - m[n:2 * n]))
+            h = z * h + (1 - z) * np.tanh(g[2 * n:] + r * m[2 * n:])
+            out.append(h)
+        return out
+
+    found, width = [], min(len(rows), gru.WINDOW)
+    for reading in range(gru.READINGS):
+        cuts = sorted({0, len(rows), *range(reading * gru.WINDOW // gru.READINGS, len(rows), gru.WINDOW)})
+        states = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            states += [np.concatenate(x) for x in zip(read(rows[a:b], "f"), read(rows[a:b][::-1], "b")[::-1], strict=True)]
+        for a in range(len(rows) - width + 1):
+            some = np.array(states[a:a + width])
+            e = np.exp(np.tanh(some @ p["A"] + p["a"]) @ p["v"])
+            found.append((e / e.sum()) @ some @ p["w"] + p["c"][0])
+    return max(found)
+
+
+def test_scores_by_definition(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = random_model(6)
+    texts = ["", "one", *(" ".join(rng.choice([f"w{i}" for i in range(60)], n)) for n in (7, 31, 32, 33, 40, 64, 150, 333))]
+    want = [one_by_one(p, t) for t in texts]
+    scorer = gru.Scorer({k: v.astype(np.float32) for k, v in p.items()})
+    assert np.allclose(scorer.logits(texts), want, atol=1e-4)
+    alone = [one_by_one(p, " ".join(texts[-1].split()[a:a + gru.WINDOW])) for a in range(0, 333 - gru.WINDOW, gru.STEP)]
+    assert want[-1] > max(alone) - 1e-9  # the windows that are pieces are among all
 
 
-def test_windows_cover_all_words():
-    for n in range(0, 200):
-        some = gru.windows(n)
-        assert {i for a, b in some for i in range(a, b)} == set(range(n))
-        assert all(b - a == min(n, gru.WINDOW) for a, b in some)
-        assert all(b2 - a1 <= gru.WINDOW + gru.STEP for (a1, _), (_, b2) in zip(some, some[1:], strict=False))
+def test_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    scorer = gru.Scorer({k: v.astype(np.float32) for k, v in random_model(7).items()})
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], n)) for n in (60, 127, 128, 129, 160, 1000, 1024)] + [" . " * 400, "x" * 3000]
+    whole = scorer.logits(texts)
+    monkeypatch.setattr(gru, "LONG", 4 * 4 * gru.WINDOW)
+    assert np.allclose(scorer.logits(texts), whole, atol=1e-4)
 
 
 def test_scores_do_not_depend_on_the_batch(monkeypatch):
@@ -75,15 +128,6 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
     assert together[0] == together[-1]
 
 
-def test_every_window_is_scored():
-    rng = np.random.default_rng(4)
-    scorer = gru.Scorer({k: v.astype(np.float32) for k, v in random_model(6).items()})
-    words = rng.choice([f"w{i}" for i in range(40)], 150).tolist()
-    alone = scorer.logits([" ".join(words[a:a + gru.WINDOW]) for a in range(150 - gru.WINDOW + 1)])
-    assert alone[:: gru.STEP].max() < alone.max() - 1e-3
-    assert np.isclose(scorer.logits([" ".join(words)])[0], alone.max(), atol=1e-4)
-
-
 def tables(n, seed=0):
     rng = np.random.default_rng(seed)
     calm, bad = [f"calm{i}" for i in range(200)], ["nasty", "vile"]
@@ -112,6 +156,21 @@ def test_query(spark, tmp_path):
     assert np.mean([r.predicted == truth[r.doc_id] for r in tested]) > 0.95
 
 
+def test_sample_bytes(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(gru, "train", lambda texts, labels: learnt.extend(map(len, texts)))
+    monkeypatch.setattr("corpusgrep.llm.toxicity.SAMPLE_BYTES", 2000)
+    rows = spark.range(50).selectExpr("id as doc_id", "repeat('a', if(id % 10 = 3, 5000, 100)) as text", "int(id % 2) as toxic")
+    fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert learnt == [100] * 20
+
+
+def test_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5.0, None)], "doc_id long, text string, score double, t string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert score(docs, fit(docs, labels)).columns == ["doc_id", "text", "score", "t"]
+
+
 def test_sample_sizes(spark, monkeypatch):
     learnt = []
     monkeypatch.setattr(gru, "train", lambda texts, labels: learnt.extend(labels))
