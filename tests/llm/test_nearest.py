@@ -27,7 +27,9 @@ def rows(seed, n=700, dim=24):
 
 
 def test_against_all(spark, monkeypatch):
-    monkeypatch.setattr(module, "QUERY_BLOCK", 13)
+    monkeypatch.setattr(module, "TOGETHER", 13)
+    monkeypatch.setattr(module, "VECTOR_BYTES", 40 * 8 * 24)
+    monkeypatch.setattr(module, "QUERY_BYTES", 1)
     data = rows(0)
     asked = {i for i, _, _ in data if i is not None and i % 20 == 0 or i == 2006}
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
@@ -39,6 +41,24 @@ def test_against_all(spark, monkeypatch):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=8).astype(np.float32).tolist(), "") for i in range(40)]
+    data += [data[1]] * 15 + [(1, data[2][1], ""), (3, data[3][1], "other column")]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    got, want = sorted(map(tuple, nearest(spark, df, df.where("vec_id % 20 = 0")).collect())), brute(data, {0, 20}, 10)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) == 20
+
+
+def test_recall(spark):
+    rng = np.random.default_rng(5)
+    vectors = (rng.normal(size=(60, 48))[rng.integers(0, 60, 20_000)] + 0.4 * rng.normal(size=(20_000, 48))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(vectors)], SCHEMA)
+    got = {(r.query_id, r.vec_id) for r in nearest(spark, df, df.where("vec_id % 100 = 0")).collect()}
+    want = {(q, int(j)) for q in range(0, 20_000, 100) for j in np.argsort(((vectors.astype(float) - vectors[q]) ** 2).sum(1), kind="stable")[1:11]}
+    assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
+
+
 def test_far_vectors(spark):
     rng = np.random.default_rng(2)
     data = [(i, (rng.normal(size=8) * scale).astype(np.float32).tolist(), "") for i, scale in enumerate([1.0] * 30 + [1e20] * 20 + [1e38] * 5)]
@@ -53,7 +73,8 @@ def test_bounds_hold():
     vectors, queries = rng.normal(size=(3000, 64)) + 1, rng.normal(size=(40, 64)) + 1
     centre, turn = vectors.mean(0), module.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    low, high = module.bounds(*module.encode(vectors, centre, turn), queries, centre, turn)
+    codes, norm, own = module.encode(vectors, centre, turn)
+    low, high = module.bounds(module.unpacked(codes, 64), norm, own, queries, centre, turn)
     exact = ((queries[:, None] - vectors[None]) ** 2).sum(2)
     assert ((low <= exact) & (exact <= high)).mean() > 0.9999
     assert (low > np.sort(exact, 1)[:, 9:10]).mean() > 0.1
