@@ -130,7 +130,7 @@ class Stages:
 
 
 def partitions_for(df: DataFrame, mb: int = 16, least: int = 1) -> int:
-    """Partitions of about mb MB by the optimizer's estimate of df's size."""
+    """Partitions of about mb MB by the optimizer's estimate of df's size, as far as a driver can hold that many tasks."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(100_000, -(-size // (mb << 20))))
 
@@ -157,6 +157,16 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], rank: str,
     return each.select(*df.columns, (F.col("__base") + F.col("__at") + F.col("__one")).alias(rank))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores more as it takes for df to have no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(col: Column | str) -> Column:
     """UTF-8 bytes of a text; none for null."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))

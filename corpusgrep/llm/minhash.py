@@ -9,9 +9,11 @@ Buckets can be large, so their pairs are never listed.  First every member is
 compared with one pivot of its bucket, which links nearly all of a group of
 near copies at once.  Where a bucket still has several components, any pair of
 members from different ones could be the one link between them, so all such
-pairs are compared: the bucket is cut into blocks of bounded size, a task gets
-two blocks, compares inside them, and returns no more links than join its
-members.  Pairs inside a component can't change it and aren't needed.
+pairs are compared: the bucket is cut into blocks of bounded size, and a task
+gets two of them.  At first these are wide blocks of signatures alone; only
+members that have a partner of similar signature go on, with their texts, in
+narrow blocks, where a task compares sets and returns no more links than join
+its members.  Pairs inside a component can't change it and aren't needed.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices, tidy
+from corpusgrep.llm.common import Stages, fresh, slices, tidy
 from corpusgrep.llm.components import components
 from corpusgrep.llm.words import LOWER, find_words, hash_ranges, hash_windows, mix, text_bytes
 
@@ -37,8 +39,10 @@ PERMUTATIONS = BANDS * ROWS
 LEAST_EQUAL = 70
 PERCENT = 75
 _CHUNK = 2048
-#: Members of a block; a task compares two of them.
-BLOCK = 1024
+#: Members of a block of signatures and of a block of texts; a task compares two of them.
+WIDE, BLOCK = 4096, 1024
+#: Bytes of shingle sets that a task keeps.
+SETS_BYTES = 64 << 20
 
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -125,49 +129,72 @@ def _similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(on, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
-def _links_of_tile(tile: pa.Table) -> pa.Table:
-    """Links on full sets between members of different components, as few as join them.
+class _Sets:
+    """Shingle sets of a tile's texts, made when they are asked for; the ones not used for longest go when they become too many."""
+
+    def __init__(self, packed: pa.ChunkedArray):
+        self.packed, self.unpack = packed, zstandard.ZstdDecompressor()
+        self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.size = 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.kept:
+            self.kept[i] = shingle_sets(pa.array([self.unpack.decompress(self.packed[i].as_py())], pa.binary()))[0]
+            self.size += self.kept[i].nbytes
+            while self.size > SETS_BYTES and len(self.kept) > 1:
+                self.size -= self.kept.popitem(last=False)[1].nbytes
+        self.kept.move_to_end(i)
+        return self.kept[i]
+
+
+class _Tile:
+    """Members of two blocks of a bucket, or of one, and which of them could be linked by their signatures."""
+
+    def __init__(self, tile: pa.Table, block: str):
+        self.nodes, roots = tile["node"].to_pylist(), tile["root"].to_pylist()
+        self.marks = np.frombuffer(b"".join(tile["s"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+        self.low = np.ascontiguousarray(self.marks.astype(np.uint8))
+        band = tile["band"][0].as_py()
+        self.bands = np.ascontiguousarray(self.marks[:, : ROWS * band]).reshape(len(self.nodes), band, ROWS)
+        self.counts, self.block = tile["n"].to_numpy(), tile[block].to_numpy()
+        self.across = len(set(self.block.tolist())) > 1
+        ids = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        self.group = np.array([ids[r] for r in roots])
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components, and of the other block, of similar size and signature.  Pairs that share an earlier band are left to that bucket."""
+        others = self.group != self.group[i]
+        if self.across:
+            others &= self.block != self.block[i]
+        others &= np.minimum(self.counts, self.counts[i]) * 100 >= PERCENT * np.maximum(self.counts, self.counts[i])
+        at = np.flatnonzero(others)
+        at = at[(self.low[at] == self.low[i]).sum(1) >= LEAST_EQUAL]  # at least as many bytes are equal as minima
+        at = at[(self.marks[at] == self.marks[i]).sum(1) >= LEAST_EQUAL]
+        return at[~(self.bands[at] == self.bands[i]).all(2).any(1)] if self.bands.shape[1] and len(at) else at
 
-    Pairs that share an earlier band are left to that bucket.
-    """
-    band = tile["band"][0].as_py()
-    nodes, roots = tile["node"].to_pylist(), tile["root"].to_pylist()
-    marks = np.frombuffer(b"".join(tile["s"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
-    bands = np.ascontiguousarray(marks[:, : ROWS * band]).reshape(len(nodes), band, ROWS)
-    unpack = zstandard.ZstdDecompressor()
-    sets: list[np.ndarray | None] = [None] * len(nodes)
-
-    def shingles(i: int) -> np.ndarray:
-        if sets[i] is None:
-            sets[i] = shingle_sets(pa.array([unpack.decompress(tile["z"][i].as_py())], pa.binary()))[0]
-        return sets[i]
-
-    counts, block = tile["n"].to_numpy(), tile["block"].to_numpy()
-    ids = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    group = np.array([ids[r] for r in roots])
-    across = len(set(block.tolist())) > 1
-    out: tuple[list, list] = ([], [])
+
+def _active_of_tile(key: tuple, rows: pa.Table) -> pa.Table:
+    """(i, j, block, node): members with a partner, for each pair of narrow blocks that has the two."""
+    tile, out = _Tile(rows, "wide"), []
+    narrow = rows["block"].to_numpy()
+    for i, node in enumerate(tile.nodes):
+        out += [(min(narrow[i], b), max(narrow[i], b), narrow[i], node) for b in np.unique(narrow[tile.partners(i)]).tolist()]
+    return pa.table({"band": pa.array([key[0].as_py()] * len(out), pa.int32()), "bucket": pa.array([key[1].as_py()] * len(out), pa.int64()),
+                     **{c: pa.array([x[k] for x in out], pa.int32()) for k, c in enumerate(("i", "j", "block"))}, "node": pa.array([x[3] for x in out], pa.binary())})
+
+
+def _links_of_tile(rows: pa.Table) -> pa.Table:
+    """Links on full sets between members of different components, as few as join them."""
+    tile, sets = _Tile(rows, "block"), _Sets(rows["z"])
+    group, out = tile.group, ([], [])
     for i in np.argsort(np.bincount(group)[group], kind="stable").tolist():  # members of small components first
-        others = group != group[i]
-        if across:
-            others &= block != block[i]
-        at = np.flatnonzero(others)
-        at = at[(np.minimum(counts[at], counts[i]) * 100 >= PERCENT * np.maximum(counts[at], counts[i]))]
-        at = at[(marks[at] == marks[i]).sum(1) >= LEAST_EQUAL]
-        if band and len(at):
-            at = at[~(bands[at] == bands[i]).all(2).any(1)]
-        if not len(at):
-            continue
-        parts = [shingles(j) for j in at.tolist()]
-        sizes = np.array([len(x) for x in parts])
-        flat, own = np.concatenate(parts), shingles(i)
-        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-        for j in at[100 * both >= PERCENT * (sizes + len(own) - both)].tolist():
+        for j in tile.partners(i).tolist():
             if group[j] != group[i]:
-                out[0].append(nodes[i])
-                out[1].append(nodes[j])
-                group[group == group[j]] = group[i]
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (tile.counts[i] + tile.counts[j] - both):
+                    out[0].append(tile.nodes[i])
+                    out[1].append(tile.nodes[j])
+                    group[group == group[j]] = group[i]
     return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
 
 
@@ -214,13 +241,17 @@ class NearDuplicates:
             "band", "bucket", "node", "size", F.coalesce("root", "node").alias("root"))
         split = placed.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "bucket")
         open_ = self.stages.write(placed.join(split, ["band", "bucket"]), "open")
-        nodes = classes.join(open_.select("node").distinct(), "node", "left_semi").join(self.texts, "node").select("node", "n", "s", "z")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        marks = classes.select("node", "n", "s")
+        nth = lambda size, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / size).cast("int")).cast("int")
         # A block meets every other block, and itself: tile (i, i) compares inside the block.
-        tiles = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-        full = tiles.join(nodes, "node")
+        tiles = open_.withColumn("wide", nth(WIDE, 0)).withColumn("block", F.col("wide") * (WIDE // BLOCK) + F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.least("size", F.lit(WIDE)) / BLOCK).cast("int")).cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / WIDE).cast("int") - 1))).select(
+            "band", "bucket", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "block", "node", "root")
+        tiles = self.stages.write(tiles, "tiles")
+        active = tiles.join(marks, "node").groupBy("band", "bucket", "i", "j").applyInArrow(_active_of_tile, "band int, bucket long, i int, j int, block int, node binary")
+        active = self.stages.write(active.distinct(), "active")
+        roots_of = open_.select("node", "root").distinct()
+        full = active.join(roots_of, "node").join(marks, "node").join(self.texts, "node")
         return full.groupBy("band", "bucket", "i", "j").applyInArrow(_links_of_tile, "a binary, b binary")
 
     def _confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,19 +292,21 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, key: str = "doc_i
 
 def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents without the rows that near_duplicates doesn't keep, and one of the rows that share id and text."""
+    d, g, h = fresh(documents, "__d", "__g", "__h")
     work = NearDuplicates(spark, documents, key, text)
     decided = work.stages.write(_decide(work).select("doc_id", "h", "kept"), "decided")
-    gone = decided.where("not kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__g")).distinct()
-    same = lambda other: F.col(key).cast("long").eqNullSafe(other["__d"]) & (F.col("__h") == other["__g"])
-    kept = documents.withColumn("__h", F.xxhash64(text)).join(gone, same(gone), "left_anti")
-    again = decided.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"))
+    gone = decided.where("not kept").select(F.col("doc_id").alias(d), F.col("h").alias(g)).distinct()
+    same = lambda other: F.col(key).cast("long").eqNullSafe(other[d]) & (F.col(h) == other[g])
+    kept = documents.withColumn(h, F.xxhash64(text)).join(gone, same(gone), "left_anti")
+    again = decided.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(d), F.col("h").alias(g))
     if again.isEmpty():
-        return kept.drop("__h")
-    one = kept.join(again, same(again), "left_semi").dropDuplicates([key, "__h"])
-    return kept.join(again, same(again), "left_anti").unionByName(one).drop("__h")
+        return kept.drop(h)
+    one = kept.join(again, same(again), "left_semi").dropDuplicates([key, h])
+    return kept.join(again, same(again), "left_anti").unionByName(one).drop(h)
 
 
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document; see near_duplicates for all special cases."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -181,7 +181,7 @@ def _compare(k: int, dim: int, centres: np.ndarray, q_ids: np.ndarray, queries:
                 with np.errstate(over="ignore"):
                     scores = np.sqrt((rest * rest).sum(1))
                 top = np.lexsort((ids[at], scores))[:k]
-                top = top[np.isfinite(scores[top])]
+                top = top[np.isfinite(scores[top]) & (scores[top] <= cuts[a + i])]
                 yield np.full(len(top), q_ids[a + i]), ids[at][top], scores[top]
 
 

@@ -48,9 +48,11 @@ def make(seed, bases=12, copies=9):
     return texts + ["", None, " \n", "One two", "one  TWO", "one two three four five", "one two three four", "é É é É é É", "é é é é é é"] + ["hot copy of a text here"] * 60
 
 
-@pytest.mark.parametrize("seed,block", [(0, 1024), (1, 3)])
-def test_against_all_pairs(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,wide,block", [(0, 4096, 1024), (1, 6, 3)])
+def test_against_all_pairs(spark, monkeypatch, seed, wide, block):
+    monkeypatch.setattr(minhash, "WIDE", wide)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SETS_BYTES", 4000)
     texts = make(seed)
     rows = [(int(k), t) for k, t in zip(np.random.default_rng(seed).permutation(len(texts)), texts, strict=True)] + [(None, "alone in here"), (None, texts[0]), (7, "dup row"), (7, "dup row")]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], SCHEMA)
@@ -58,6 +60,30 @@ def test_against_all_pairs(spark, monkeypatch, seed, block):
     assert got == sorted(brute(rows), key=str)
 
 
+def test_long_texts_and_clashing_names(spark):
+    rng = np.random.default_rng(8)
+    words = rng.choice([f"w{i}" for i in range(5000)], 200_000).tolist()
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:190_000]), "b"), (3, "x" * 2_000_000, "c"), (4, "x" * 2_000_000, "d"), (4, "x" * 2_000_000, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h string").withColumnsRenamed({"__h": "__d"}).selectExpr("*", "1 as __g", "2 as __h")
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark, df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert sorted(r.doc_id for r in minhash.keep_one(spark, df).collect()) == [1, 3] and minhash.keep_one(spark, df).columns == df.columns
+
+
+def test_large_bucket_of_strangers(spark):
+    """Rows follow the members, not their square: a row for each wide block, and none with a text."""
+    n, rng = 16_000, np.random.default_rng(9)
+    work = minhash.NearDuplicates(spark, spark.createDataFrame([], "doc_id long, text string"))
+    nodes = [i.to_bytes(16, "big") for i in range(n)]
+    marks = rng.integers(0, 1 << 32, (n, minhash.PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
+    classes = work.stages.write(spark.createDataFrame([(k, 50, m.tobytes()) for k, m in zip(nodes, marks, strict=True)], "node binary, n long, s binary"), "classes")
+    members = work.stages.write(spark.createDataFrame([(0, 7, k, n) for k in nodes], "band int, bucket long, node binary, size long"), "members")
+    work.texts = spark.createDataFrame([], "node binary, z binary")
+    links = work._between(members, spark.createDataFrame([], "a binary, b binary"), classes)
+    assert links.count() == 0 and spark.read.parquet(work.stages.path("active")).count() == 0
+    tiles = spark.read.parquet(work.stages.path("tiles"))
+    assert tiles.count() == n * -(-n // minhash.WIDE) and "z" not in tiles.columns
+
+
 def test_empty(spark):
     assert near_duplicates(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
