@@ -6,8 +6,11 @@ string starts with one minimizer.  Runs whose minimizer occurs once in the
 corpus are dropped by their hashes alone; runs with equal content are counted
 and only one of them goes on; what is left, pieces of a few hundred bytes, is
 dealt out by minimizer, and each task indexes its pieces in a logarithmic
-family of suffix arrays.  A minimizer with too many different runs for one
-task is compared string by string in a distributed aggregation instead.
+family of suffix arrays.  Pieces of a minimizer that has too many for one task
+are cut again, into runs of starts with one minimizer of another hash, of which
+equal ones are folded on their bytes, and these are dealt out in the same way.
+What LEVELS such cuts leave together differs in a few bytes at an end of its
+strings; it is told apart string by string.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ SPAN = WIDTH - GRAM + 1
 LONGEST = 1 << 14
 #: Starts that are looked at together; a longer text is looked at in blocks.
 BLOCK = 2 << 20
-#: Pieces that a task indexes, starts of a batch, and runs of one minimizer that a task may get.
+#: Pieces that a task indexes, starts of a batch, pieces of one minimizer that a task may get, and cuts by other minimizers beyond that.
 PIECES = 8_000
 BATCH = 1 << 17
-MANY = 20_000
+MANY = 1_000
+LEVELS = 2
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -153,6 +157,27 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["v", "h", "spans"])
 
 
+def _split(level: int):
+    """Cut pieces into runs of starts with one minimizer of the level's hash."""
+    salt = mix(np.array([level], np.uint64))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for v, h, piece in zip(*(batch.column(c).to_pylist() for c in ("v", "h", "piece")), strict=True):
+                hashes = mix(_gram_hashes(np.frombuffer(piece, np.uint8)) ^ salt)
+                least = _sliding(hashes, SPAN, np.minimum)
+                begins = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                keys = mix(least[begins] + mix(np.array([v], np.int64).view(np.uint64))).view(np.int64)
+                for a, b, w in zip(begins.tolist(), [*begins[1:].tolist(), len(least)], keys.tolist(), strict=True):
+                    # A minimizer that stands once can't be in two equal strings of the run.
+                    own = int((hashes[a:b + SPAN - 1] == least[a]).sum()) > 1
+                    out.append((v, h, a, b - a, w, own, piece[a:b + WIDTH - 1]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["v", "h", "at", "n", "w", "own", "piece"])
+    return run
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for v, h, piece in zip(*(batch.column(c).to_pylist() for c in ("v", "h", "piece")), strict=True):
@@ -191,7 +216,7 @@ class RepeatedStrings:
             F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "start")).alias("one"), F.first("n").alias("n"), F.max("own").alias("own"), F.first("mixed").alias("mixed"))
         contents = stages.write(contents, "contents")
         pieces = self._pieces(contents.where("mixed or (own and c = 1)"))
-        matched = self._matched(pieces, contents)
+        matched = self._matched(pieces)
         whole = contents.where("c > 1").select("v", "h", F.array(F.lit(0), F.col("n")).alias("spans"))
         once = matched.join(contents.where("c = 1").select("v", "h"), ["v", "h"], "left_semi")
         placed = some.select("doc_id", "k", "v", "h", "start").join(whole.unionByName(once), ["v", "h"])
@@ -206,19 +231,35 @@ class RepeatedStrings:
         cut = packed.join(parts, packed["doc_id"].eqNullSafe(parts["d"]) & (packed["k"] == parts["k2"])).select("z", "parts")
         return self.stages.write(cut.mapInArrow(tidy(_cut), "v long, h long, piece binary").dropDuplicates(["v", "h"]), "pieces")
 
-    def _matched(self, pieces: DataFrame, contents: DataFrame) -> DataFrame:
-        """(v, h, spans): starts in each piece whose strings are found again in a piece."""
+    def _matched(self, pieces: DataFrame, level: int = 0) -> DataFrame:
+        """(v, h, spans): starts in each piece, one of a content, whose strings are found again in a piece."""
         many = pieces.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("v")
-        few = pieces.join(many, "v", "left_anti")
         tasks = max(1, -(-pieces.count() // PIECES))
-        out = few.repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")  # read once, so not written
-        if many.isEmpty():
-            return out
-        each = self.stages.write(pieces.join(many, "v", "left_semi").mapInArrow(tidy(_strings), "v long, h long, at int, x long, y long"), "each")
+        if many.isEmpty():  # what is returned is read once, so it isn't written
+            return pieces.repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")
+        few = pieces.join(many, "v", "left_anti").repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")
+        hot = pieces.join(many, "v", "left_semi")
+        return few.unionByName(self._by_strings(hot) if level == LEVELS else self._cut_again(hot, level + 1))
+
+    def _cut_again(self, hot: DataFrame, level: int) -> DataFrame:
+        """_matched() of pieces whose minimizers have many, by the minimizers of another hash inside them."""
+        cut = hot.mapInArrow(tidy(_split(level)), "v long, h long, at int, n int, w long, own boolean, piece binary").withColumn("x", F.xxhash64("piece"))
+        cut = self.stages.write(cut, f"cut-{level}")
+        contents = self.stages.write(cut.groupBy("w", "x", "piece").agg(F.count("*").alias("c"), F.max("own").alias("own"), F.first("n").alias("n")), f"cut-contents-{level}")
+        mixed = contents.groupBy("w").agg(F.count("*").alias("__c")).where("__c > 1").select("w", F.lit(True).alias("mixed"))
+        inside = contents.join(mixed, "w", "left").where("mixed or (own and c = 1)")
+        matched = self._matched(self.stages.write(inside.select(F.col("w").alias("v"), F.col("x").alias("h"), "piece"), f"cut-pieces-{level}"), level)
+        once = matched.withColumnsRenamed({"v": "w", "h": "x"}).join(contents.where("c = 1").select("w", "x"), ["w", "x"], "left_semi")
+        whole = contents.where("c > 1").select("w", "x", F.array(F.lit(0), F.col("n")).alias("spans"))
+        placed = cut.select("v", "h", "at", "w", "x").join(whole.unionByName(once), ["w", "x"])
+        return placed.groupBy("v", "h").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: s + F.col("at")))).alias("spans"))
+
+    def _by_strings(self, hot: DataFrame) -> DataFrame:
+        """_matched() of pieces of which very many share all minimizers: equal strings, by 128 bits of hash, are counted."""
+        each = self.stages.write(hot.mapInArrow(tidy(_strings), "v long, h long, at int, x long, y long"), "each")
         often = each.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
         starts = each.join(often, ["x", "y"], "left_semi")
-        lists = starts.groupBy("v", "h").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
-        return out.unionByName(lists)
+        return starts.groupBy("v", "h").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
 
 
 def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,6 +316,7 @@ def whole_characters(kept: Column) -> Column:
 
 
 def op2_suffix_array_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document; see without_repeats for all special cases."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(spark, documents).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
