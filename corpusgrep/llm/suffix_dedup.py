@@ -7,10 +7,9 @@ corpus are dropped by their hashes alone; runs with equal content are counted
 and only one of them goes on; what is left, pieces of a few hundred bytes, is
 dealt out by minimizer, and each task indexes its pieces in a logarithmic
 family of suffix arrays.  Pieces of a minimizer that has too many for one task
-are cut again, into runs of starts with one minimizer of another hash, of which
-equal ones are folded on their bytes, and these are dealt out in the same way.
-What LEVELS such cuts leave together differs in a few bytes at an end of its
-strings; it is told apart string by string.
+are dealt out in blocks of bounded size, each with a family of its own; the
+distinct strings of the blocks' arrays are merged by their hashes, and those
+that several blocks have are marked in each.
 """
 
 from __future__ import annotations
@@ -35,11 +34,10 @@ SPAN = WIDTH - GRAM + 1
 LONGEST = 1 << 14
 #: Starts that are looked at together; a longer text is looked at in blocks.
 BLOCK = 2 << 20
-#: Pieces that a task indexes, starts of a batch, pieces of one minimizer that a task may get, and cuts by other minimizers beyond that.
+#: Pieces that a task indexes, starts of a batch, and bytes of one minimizer's pieces that a task may get, or a block beyond that.
 PIECES = 8_000
 BATCH = 1 << 17
-MANY = 1_000
-LEVELS = 2
+MANY = 1 << 20
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -133,59 +131,64 @@ def _spans(marks: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0, append=0)).tolist()
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family, known, waiting, size = SuffixFamily(WIDTH), [], [], 0
+def _indexed(pieces: Iterator[bytes]) -> tuple[SuffixFamily, list[int]]:
+    """A family of all pieces, and where each stands in its text."""
+    family, places, waiting, size = SuffixFamily(WIDTH), [], [], 0
+    for piece in pieces:
+        waiting.append(piece)
+        size += len(piece) - WIDTH + 1
+        if size >= BATCH:
+            places += family.add(waiting)
+            waiting, size = [], 0
+    return family, places + family.add(waiting)
 
-    def flush() -> None:
-        for (v, h, piece), at in zip(waiting, family.add([w[2] for w in waiting]), strict=True):
-            known.append((v, h, at, len(piece) - WIDTH + 1))
-        waiting.clear()
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("v", "h", "piece")), strict=True):
-            waiting.append(row)
-            size += len(row[2]) - WIDTH + 1
-            if size >= BATCH:
-                flush()
-                size = 0
-    flush()
-    found = [(v, h, spans) for v, h, at, n in known if (spans := _spans(family.repeated[at:at + n]))]
-    for i in range(0, len(found), 10_000):
-        part = found[i:i + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.list_(pa.int32()))],
-            ["v", "h", "spans"])
+def _marked(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], ["v", "h", "spans"])
 
 
-def _split(level: int):
-    """Cut pieces into runs of starts with one minimizer of the level's hash."""
-    salt = mix(np.array([level], np.uint64))[0]
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, int, int]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces() -> Iterator[bytes]:
         for batch in batches:
-            out: list[tuple] = []
             for v, h, piece in zip(*(batch.column(c).to_pylist() for c in ("v", "h", "piece")), strict=True):
-                hashes = mix(_gram_hashes(np.frombuffer(piece, np.uint8)) ^ salt)
-                least = _sliding(hashes, SPAN, np.minimum)
-                begins = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-                keys = mix(least[begins] + mix(np.array([v], np.int64).view(np.uint64))).view(np.int64)
-                for a, b, w in zip(begins.tolist(), [*begins[1:].tolist(), len(least)], keys.tolist(), strict=True):
-                    # A minimizer that stands once can't be in two equal strings of the run.
-                    own = int((hashes[a:b + SPAN - 1] == least[a]).sum()) > 1
-                    out.append((v, h, a, b - a, w, own, piece[a:b + WIDTH - 1]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["v", "h", "at", "n", "w", "own", "piece"])
-    return run
+                rows.append((v, h, len(piece) - WIDTH + 1))
+                yield piece
 
+    family, places = _indexed(pieces())
+    found = [(v, h, spans) for (v, h, n), at in zip(rows, places, strict=True) if (spans := _spans(family.repeated[at:at + n]))]
+    for i in range(0, len(found), 10_000):
+        yield _marked(found[i:i + 10_000])
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for v, h, piece in zip(*(batch.column(c).to_pylist() for c in ("v", "h", "piece")), strict=True):
-            n = len(piece) - WIDTH + 1
-            data, at = np.frombuffer(piece, np.uint8), np.arange(n)
-            x, y = (hash_ranges(data, at, at + WIDTH, base).view(np.int64) for base in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(x), pa.array(y)], ["v", "h", "at", "x", "y"])
+
+def _hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of the strings at ascending starts."""
+    x, y = (hash_ranges(data, starts, starts + WIDTH, base).view(np.int64) for base in (0, 1))
+    return x, y
+
+
+def _strings_of_block(key: tuple, rows: pa.Table) -> pa.Table:
+    """(v, block, x, y, twice): the strings in the arrays of a block's family, by hash, and whether the block has them twice."""
+    family, _ = _indexed(rows["piece"].to_pylist())
+    starts = np.sort(np.concatenate([np.zeros(0, np.int64), *(level for _, level in family.levels)]))
+    x, y = _hashes(family.text, starts)
+    same = [pa.array([k.as_py()] * len(starts), t) for k, t in zip(key, (pa.int64(), pa.int32()), strict=True)]
+    return pa.table([*same, pa.array(x), pa.array(y), pa.array(family.repeated[starts])], ["v", "block", "x", "y", "twice"])
+
+
+def _mark_block(pieces: pa.Table, strings: pa.Table) -> pa.Table:
+    """Starts in a block's pieces of the strings with these hashes."""
+    x, y = strings["x"].to_numpy(), strings["y"].to_numpy()
+    order = np.argsort(x, kind="stable")
+    x, y, found = x[order], y[order], []
+    for v, h, piece in zip(*(pieces[c].to_pylist() for c in ("v", "h", "piece")), strict=True) if len(x) else ():
+        a, b = _hashes(np.frombuffer(piece, np.uint8), np.arange(len(piece) - WIDTH + 1))
+        at = np.minimum(np.searchsorted(x, a), len(x) - 1)
+        if spans := _spans((x[at] == a) & (y[at] == b)):
+            found.append((v, h, spans))
+    return pa.Table.from_batches([_marked(found)])
 
 
 def _squeeze(text: str, keep: list[str]):
@@ -231,35 +234,19 @@ class RepeatedStrings:
         cut = packed.join(parts, packed["doc_id"].eqNullSafe(parts["d"]) & (packed["k"] == parts["k2"])).select("z", "parts")
         return self.stages.write(cut.mapInArrow(tidy(_cut), "v long, h long, piece binary").dropDuplicates(["v", "h"]), "pieces")
 
-    def _matched(self, pieces: DataFrame, level: int = 0) -> DataFrame:
+    def _matched(self, pieces: DataFrame) -> DataFrame:
         """(v, h, spans): starts in each piece, one of a content, whose strings are found again in a piece."""
-        many = pieces.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("v")
+        size = F.sum(F.octet_length("piece"))
+        many = self.stages.write(pieces.groupBy("v").agg(size.alias("size")).where(F.col("size") > MANY), "many")
         tasks = max(1, -(-pieces.count() // PIECES))
         if many.isEmpty():  # what is returned is read once, so it isn't written
             return pieces.repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")
         few = pieces.join(many, "v", "left_anti").repartition(tasks, "v").mapInArrow(tidy(_match), "v long, h long, spans array<int>")
-        hot = pieces.join(many, "v", "left_semi")
-        return few.unionByName(self._by_strings(hot) if level == LEVELS else self._cut_again(hot, level + 1))
-
-    def _cut_again(self, hot: DataFrame, level: int) -> DataFrame:
-        """_matched() of pieces whose minimizers have many, by the minimizers of another hash inside them."""
-        cut = hot.mapInArrow(tidy(_split(level)), "v long, h long, at int, n int, w long, own boolean, piece binary").withColumn("x", F.xxhash64("piece"))
-        cut = self.stages.write(cut, f"cut-{level}")
-        contents = self.stages.write(cut.groupBy("w", "x", "piece").agg(F.count("*").alias("c"), F.max("own").alias("own"), F.first("n").alias("n")), f"cut-contents-{level}")
-        mixed = contents.groupBy("w").agg(F.count("*").alias("__c")).where("__c > 1").select("w", F.lit(True).alias("mixed"))
-        inside = contents.join(mixed, "w", "left").where("mixed or (own and c = 1)")
-        matched = self._matched(self.stages.write(inside.select(F.col("w").alias("v"), F.col("x").alias("h"), "piece"), f"cut-pieces-{level}"), level)
-        once = matched.withColumnsRenamed({"v": "w", "h": "x"}).join(contents.where("c = 1").select("w", "x"), ["w", "x"], "left_semi")
-        whole = contents.where("c > 1").select("w", "x", F.array(F.lit(0), F.col("n")).alias("spans"))
-        placed = cut.select("v", "h", "at", "w", "x").join(whole.unionByName(once), ["w", "x"])
-        return placed.groupBy("v", "h").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: s + F.col("at")))).alias("spans"))
-
-    def _by_strings(self, hot: DataFrame) -> DataFrame:
-        """_matched() of pieces of which very many share all minimizers: equal strings, by 128 bits of hash, are counted."""
-        each = self.stages.write(hot.mapInArrow(tidy(_strings), "v long, h long, at int, x long, y long"), "each")
-        often = each.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
-        starts = each.join(often, ["x", "y"], "left_semi")
-        return starts.groupBy("v", "h").agg(F.flatten(F.sort_array(F.collect_list(F.array("at", F.col("at") + 1)))).alias("spans"))
+        hot = pieces.join(many, "v").withColumn("block", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / MANY)).cast("int")).select("v", "block", "h", "piece")
+        strings = self.stages.write(hot.groupBy("v", "block").applyInArrow(_strings_of_block, "v long, block int, x long, y long, twice boolean"), "strings")
+        again = strings.groupBy("v", "x", "y").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("v", "x", "y")
+        marks = strings.select("v", "block", "x", "y").join(again, ["v", "x", "y"], "left_semi")
+        return few.unionByName(hot.groupBy("v", "block").cogroup(marks.groupBy("v", "block")).applyInArrow(_mark_block, "v long, h long, spans array<int>"))
 
 
 def without_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
