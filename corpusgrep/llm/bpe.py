@@ -336,11 +336,14 @@ def codec_of(path: str) -> BpeCodec:
 def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The kept columns, the ids of each whole text and the text that these decode to.
 
-    Null texts count as empty.  Kept columns named like the new ones must be renamed first.  No
-    shuffle; a task holds about 4 MB of text, or one longer text, at a time.
+    Null texts count as empty.  Kept columns named like the new ones are replaced.  Repeated rows
+    stay, each with its own result; an empty table gives an empty one.  No shuffle; a task holds
+    about 4 MB of text, or one longer text, at a time.
     """
     small_batches(df.sparkSession)
-    rows = df.select(*keep, F.col(text).alias("__text"))
+    keep = [c for c in keep if c.lower() not in (ids.lower(), decoded.lower())]
+    names = [f"__c{i}" for i in range(len(keep))]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
@@ -350,14 +353,16 @@ def roundtrip(df: DataFrame, path: str, keep: list[str], text: str = "text", ids
             ends = np.cumsum([0, *(len(x) >> 2 for x in found)])
             texts = [codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(texts, pa.string())],
-                [*keep, ids, decoded])
+                [*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), pa.array(texts, pa.string())],
+                [*names, "__ids", "__decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tidy(run, True), f"{kinds}, {ids} array<int>, {decoded} string")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    done = rows.mapInArrow(tidy(run, True), ", ".join([*kinds, "__ids array<int>, __decoded string"]))
+    return done.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("__ids").alias(ids), F.col("__decoded").alias(decoded))
 
 
 def op6_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of every document; see roundtrip for all special cases."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = roundtrip(documents, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
     return rows.select(

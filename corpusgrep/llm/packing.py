@@ -66,7 +66,11 @@ def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) that use up counts[length] exactly."""
+    """(lengths of a sequence, how many such sequences) that use up counts[length] exactly.
+
+    PARTNERS bounds the patterns that are tried, not the pieces: best fit packs all that they leave.
+    Ties between patterns go to the one that comes first, longest pieces first.
+    """
     left, out = counts.astype(np.int64).copy(), []
 
     def take(row: tuple[int, ...], most: int) -> None:
@@ -117,7 +121,7 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def pieces(df: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids) of every text, with the end id; ids little-endian, 32 bits.
 
-    A null text is empty.  Only texts of over capacity ids are cut: all pieces but the first have
+    A null text is empty, repeated rows are cut each.  Only texts of over capacity ids are cut: all pieces but the first have
     capacity ids, the first what is left over.
     """
     small_batches(df.sparkSession)
@@ -149,7 +153,9 @@ def pack(spark: SparkSession, df: DataFrame, order: list[str], capacity: int) ->
     task; rows equal in all columns are folded before they are shuffled.  The slot table is joined
     by broadcast: it has a few rows for each pattern, and there are at most as many patterns as the
     fitted ones (bounded by capacity and PARTNERS) and one for each step of best fit, each of which
-    uses up a length.  An empty table gives an empty result.
+    uses up a length; with 1024 lengths these are some thousand rows.  Which of equally long pieces
+    gets which place follows their order columns, and above ROWS_PER_BUCKET rows first a hash of
+    these; rows equal in all columns get places of their own.  An empty table gives an empty result.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in df.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
@@ -169,6 +175,7 @@ def pack_documents(spark: SparkSession, documents: DataFrame, capacity: int = 10
 
 
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document; see pieces and pack for all special cases."""
     return pack_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -5,8 +5,9 @@ lexical patterns, and the other tokens with a digit or an at sign, runs of
 digit groups and spelt-out addresses that stand in the same contexts are
 instances.  Patterns and instances form a bipartite
 graph by kind, scored in turns by joins: a pattern by the share of its
-distinct instances that are believed, an instance by the patterns that it
-stands in, until nothing is added.  Instances found by patterns of high confidence are identifiers
+distinct instances that are believed, where one of which nothing is known
+weighs less than one of another kind, an instance by the patterns that
+it stands in, until nothing is added.  Instances found by patterns of high confidence are identifiers
 that no fixed pattern describes; they add spans to the fixed ones.
 """
 
@@ -14,19 +15,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgrep.llm.common import Stages, slices, tidy
+from corpusgrep.llm.common import Stages, fresh, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, confidence that a pattern needs, weight of the prior against a pattern, movement of all scores that counts as rest.
+#: Distinct seeds that a pattern needs, confidence that a pattern needs, weight of the prior against a pattern, weight against it of an
+#: instance of which nothing is known, movement of all scores that counts as rest.
 SUPPORT = 5
 CONFIDENCE = 0.75
 PRIOR = 1.0
+UNKNOWN = 0.75
 MOVED = 1e-6
 #: Characters that an unseen identifier has at least, and those up to which it stands for itself in the graph; longer ones are hashed.
 LEAST, PLAIN = 5, 64
@@ -97,23 +101,47 @@ def _clean(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>").lower()
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+class Words:
+    """A text's words, for the words around a place, however far they are."""
+
+    def __init__(self, text: str):
+        self.text, self.places = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.places]
+
+    def before(self, start: int, n: int) -> list[str]:
+        """The last n words that begin before the place, in order; what is written directly before it counts as one."""
+        out, i = [], bisect_left(self.starts, start) - 1
+        while i >= 0 and len(out) < n:
+            a, b = self.places[i]
+            if word := _clean(self.text[a:min(b, start)]):
+                out.append(word)
+            i -= 1
+        return out[::-1]
+
+    def after(self, end: int) -> str:
+        """The next word; of two, if the first has no letters."""
+        i = bisect_left(self.starts, end)
+        some = self.places[max(0, i - 1):i + 2]
+        found = [w for w in [_clean(self.text[max(a, end):b]) for a, b in some if b > end][:2] if w]
+        return found[0] if found else ""
+
+
+def contexts(words: Words, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: one word before it, two, three, one after it, and one on each side.
 
-    Only the nearest 200 characters count, and words that have digits don't.  What is written
-    directly before the place, like a label with a colon, is the first word before it.
+    Words that have digits or an at sign don't count.  What is written directly before the place,
+    like a label with a colon, is the first word before it.
     """
-    before = [w for w in (_clean(m) for m in _WORD.findall(text[max(0, start - 200):start])) if w]
-    after = [w for w in (_clean(m) for m in _WORD.findall(text[end:end + 200])[:2]) if w]
+    before, after = words.before(start, 3), words.after(end)
     plain = lambda words: not any(c.isdigit() or c == "@" for w in words for c in w)
     out = []
     for n in (1, 2, 3):
         if len(before) >= n and plain(before[-n:]):
             out.append(f"{n} {' '.join(before[-n:])} _")
-    if after and plain(after[:1]):
-        out.append(f"0 _ {after[0]}")
-    if before and after and plain([before[-1], after[0]]):
-        out.append(f"1 {before[-1]} _ {after[0]}")
+    if after and plain([after]):
+        out.append(f"0 _ {after}")
+        if before and plain(before[-1:]):
+            out.append(f"1 {before[-1]} _ {after}")
     return out
 
 
@@ -180,7 +208,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 base = base_spans(t)
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 some = [*base, *((a, None, b) for a, b in candidates(t, base))]
-                places.append([{"start": a, "end": b, "kind": k, "instance": _instance(t[a:b]), "context": c} for a, k, b in some for c in contexts(t, a, b)])
+                words = Words(t) if some else None
+                places.append([{"start": a, "end": b, "kind": k, "instance": _instance(t[a:b]), "context": c} for a, k, b in some for c in contexts(words, a, b)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), pa.array(bases, pa.list_(span)), pa.array(places, pa.list_(place))], ["doc_id", "k", "base", "places"])
 
@@ -201,16 +230,18 @@ def discover(stages: Stages, scanned: DataFrame) -> DataFrame:
     sizes = stages.write(seen.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "sizes")
     known = seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     edges = stages.write(seen.select("context", "instance").join(sizes.select("context"), "context").join(known, "instance", "left"), "edges")
-    seeds = edges.where("kind is not null").groupBy("context", F.col("kind").alias("of")).agg(F.count("*").cast("double").alias("mass"), F.count("*").alias("support"))
+    against = stages.write(edges.groupBy("context").agg((F.count("kind") + UNKNOWN * (F.count("*") - F.count("kind"))).alias("against")), "against")
+    seeds = edges.where("kind is not null").groupBy("context", F.col("kind").alias("of")).agg(
+        F.count("*").cast("double").alias("mass"), F.count("*").alias("support"), F.lit(0.0).alias("gained"))
     seeds, unseen = stages.write(seeds, "seeds"), edges.where("kind is null").select("context", "instance")
     stages.drop("seen")
     found, before, turn = None, (0, 0, 0.0), 0
     while True:
         mass = seeds if found is None else seeds.unionByName(
-            unseen.join(found, "instance").groupBy("context", "of").agg(F.sum("score").alias("mass"), F.count("*").alias("support")))
-        confidence = F.round(F.col("mass") / (F.col("n") + PRIOR), 9)
-        patterns = mass.groupBy("context", "of").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support")).where(F.col("support") >= SUPPORT).join(
-            sizes, "context").select("context", "of", confidence.alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+            unseen.join(found, "instance").groupBy("context", "of").agg(F.sum("score").alias("mass"), F.count("*").alias("support"), F.sum("score").alias("gained")))
+        confidence = F.round(F.col("mass") / (F.col("against") + (1 - UNKNOWN) * F.col("gained") + PRIOR), 9)
+        patterns = mass.groupBy("context", "of").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support"), F.sum("gained").alias("gained")).where(F.col("support") >= SUPPORT).join(
+            against, "context").select("context", "of", confidence.alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
         patterns = stages.write(patterns, f"patterns-{turn}")
         # An instance is as likely as that not all of its patterns are wrong.
         found = stages.write(unseen.join(patterns, "context").groupBy("instance", "of").agg(
@@ -231,7 +262,14 @@ def discover(stages: Stages, scanned: DataFrame) -> DataFrame:
 
 
 def find_spans(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, k, base, spans) of every row: arrays of (start, kind's index, end), sorted; spans has base and more."""
+    """(doc_id, k, base, spans) of every row: arrays of (start, kind's index, end), sorted; spans has base and more.
+
+    A null or empty text has no spans, and an empty table gives an empty result.  Repeated rows get
+    the same spans each; however often a string stands in a context, it counts there once.  Of
+    several kinds that a place could be, the one of the highest score counts, and of equal scores
+    the first of KINDS; of added places inside one another the outermost counts, and they never
+    overlap base spans.  Other columns are ignored.
+    """
     stages = Stages(spark, "pii")
     scanned = stages.write(scan(df, key, text), "scanned")
     added = discover(stages, scanned).groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).select(
@@ -250,28 +288,30 @@ def written(spans: Column) -> Column:
 def mask(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every found span of the text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    Null texts stay null.  Texts without spans are not touched.
+    Null texts stay null.  Texts without spans are not touched.  Columns of any names stay.
     """
-    found = find_spans(spark, df, key, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.col("spans").alias("__spans")).distinct()
-    joined = df.withColumn("__key", F.xxhash64(key, text)).join(
-        found, F.col(key).cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    d, h, at, key_, merged_ = fresh(df, "__d", "__k", "__spans", "__key", "__merged")
+    found = find_spans(spark, df, key, text).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("k").alias(h), F.col("spans").alias(at)).distinct()
+    joined = df.withColumn(key_, F.xxhash64(key, text)).join(
+        found, F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.col(key_) == F.col(h)), "left")
     # Merge overlapping spans, then write the pieces between them and the names in turn.
-    merged = F.aggregate("__spans", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"), lambda done, s: F.when(
+    merged = F.aggregate(at, F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"), lambda done, s: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["end"] > s["start"]),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
             F.element_at(done, -1)["start"].alias("start"), F.element_at(done, -1)["kind"].alias("kind"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(s))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    joined = joined.withColumn("__merged", merged)
-    pieces = F.transform("__merged", lambda s, i: F.concat(
-        F.substring(F.col(text), F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__merged", i)["end"]) + 1,
-                    s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__merged", i)["end"])),
+    joined = joined.withColumn(merged_, merged)
+    pieces = F.transform(merged_, lambda s, i: F.concat(
+        F.substring(F.col(text), F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(merged_, i)["end"]) + 1,
+                    s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(merged_, i)["end"])),
         F.element_at(names, s["kind"] + 1)))
-    masked = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), F.element_at("__merged", -1)["end"] + 1, F.lit(2**31 - 1)))
-    return joined.select(*(F.when(F.col("__merged").isNull(), F.col(text)).otherwise(masked).alias(c) if c == text else F.col(c) for c in df.columns))
+    masked = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), F.element_at(merged_, -1)["end"] + 1, F.lit(2**31 - 1)))
+    return joined.select(*(F.when(F.col(merged_).isNull(), F.col(text)).otherwise(masked).alias(c) if c == text else F.col(c) for c in df.columns))
 
 
 def op4_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the personal data of every document; see find_spans for all special cases."""
     found = find_spans(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

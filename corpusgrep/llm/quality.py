@@ -80,7 +80,8 @@ def features(column: pa.Array) -> dict[str, np.ndarray]:
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df with FEATURES of the whole text in place of the text; columns of these names are replaced.
 
-    A null text counts as empty.  No shuffle; a task holds about 4 MB of text, or one longer text.
+    A null text counts as empty; repeated rows are measured each; an empty table gives an empty
+    result.  No shuffle; a task holds about 4 MB of text, or one longer text.
     """
     keep = [c for c in df.columns if c != text and c not in FEATURES]
     small_batches(df.sparkSession)
@@ -175,6 +176,7 @@ def posterior(df: DataFrame, probability: str = "quality_probability") -> DataFr
 
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; see measure, votes and posterior for all special cases."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
     measured = Stages(spark, "quality").write(measure(documents), "features")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)

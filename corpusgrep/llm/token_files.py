@@ -32,8 +32,10 @@ _HEAD = struct.Struct("<4sBQQQqQQQ")
 MAGIC = b"EFT1"
 #: Tokens after which a segment ends, so that memory doesn't follow the file's size.
 SEGMENT_TOKENS = 1 << 20
-#: MB of stored text, by the optimizer's estimate, for a file; a reader holds a file's ids at once.
-FILE_MB = 6
+#: MB of stored text, by the optimizer's estimate, for a task, as far as there can be that many tasks.
+TASK_MB = 6
+#: Segments of a file; a reader holds a file's ids at once.
+FILE_SEGMENTS = 8
 
 
 def pack_segment(doc_ids: list, lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -86,7 +88,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     small_batches(df.sparkSession)
     width = 2 if max(end_id, _largest_id(tokenizer)) < 1 << 16 else 4
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(partitions_for(rows, FILE_MB), "k", "h").sortWithinPartitions("k", "h")
+    rows = rows.repartitionByRange(partitions_for(rows, TASK_MB), "k", "h").sortWithinPartitions("k", "h")
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
             yield segment()
 
     with settings(df.sparkSession):
-        rows.select("k", "t").mapInArrow(tidy(pack, True), "b binary").select(F.col("b").cast("string")).write.mode("overwrite").text(path)
+        rows.select("k", "t").mapInArrow(tidy(pack, True), "b binary").select(F.col("b").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _largest_id(tokenizer: str) -> int:
@@ -143,41 +145,31 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(tidy(unpack), "file string, segment int, place long, doc_id long, local_start long, ids binary")
 
 
-def segment_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, segment, base): ids of all segments before each, from the headers.
+def with_starts(documents: DataFrame) -> DataFrame:
+    """Documents of read_tokens, a written table, with ``start``: the ids of all documents before each.
 
-    Segments are numbered in two steps, inside a file and over files, so the only single task sees one row for each file.
+    The files aren't read again for it: a segment's size is told by its last document.  Segments are
+    numbered in two steps, inside a file and over files, so the only single task sees one row for each file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.txt").load(path).select(
-        F.substring_index("path", "/", -1).alias("file"), "content")
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(s, segment.tokens) for s, segment in enumerate(segments(content.as_buffer()))]
-                before = np.cumsum([0, *(t for _, t in found)])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([file] * len(found)), pa.array([s for s, _ in found], pa.int32()),
-                    pa.array(before[:-1].tolist(), pa.int64()), pa.array([int(before[-1])] * len(found), pa.int64()),
-                ], ["file", "segment", "inside", "tokens"])
-
-    return files.mapInArrow(tidy(heads), "file string, segment int, inside long, tokens long")
+    segments = documents.groupBy("file", "segment").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("tokens"))
+    before = lambda *by: F.coalesce(F.sum("tokens").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order: list = ["segment"]
+    inside = segments.withColumn("inside", before("file"))
+    # Names tell the task and the file's number in it.
+    order = [F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"c(\d+)\.[^-]*$", 1).cast("long"), F.col("file")]
+    files = segments.groupBy("file").agg(F.sum("tokens").alias("tokens")).select("file", before().alias("outside"))
+    bases = inside.join(files, "file").select("file", "segment", (F.col("inside") + F.col("outside")).alias("base"))
+    return documents.join(bases, ["file", "segment"]).withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def op1_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all documents as token files and describe each from what is read back."""
+    """Write all documents as token files and describe each from what is read back; see write_tokens for all special cases."""
     stages = Stages(spark, "tokens")
     path = stages.path("files")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    heads = stages.write(segment_starts(spark, path), "heads")
-    over = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = heads.groupBy("file").agg(F.max("tokens").alias("tokens")).select(
-        "file", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("before"))
-    starts = heads.join(bases, "file").select("file", "segment", (F.col("inside") + F.col("before")).alias("base"))
-    docs = read_tokens(spark, path).select(
-        "file", "segment", "doc_id", "local_start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return docs.join(starts, ["file", "segment"]).select(
-        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    found = stages.write(read_tokens(spark, path).select(
+        "file", "segment", "doc_id", "local_start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "documents")
+    return with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op1_elias_fano_tokens": op1_elias_fano_tokens}

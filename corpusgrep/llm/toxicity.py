@@ -82,6 +82,7 @@ def score(df: DataFrame, parameters: dict[str, np.ndarray], text: str = "text",
 
 
 def op7_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document; see fit and score for all special cases."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parameters = fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(documents, parameters).select(

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from corpusgrep.llm.pii import KINDS, base_spans, candidates, mask, op4_bootstrapped_contexts
 
@@ -81,6 +82,101 @@ def test_discovered_instances_are_seeds(spark, tmp_path):
     assert additions(query(spark, tmp_path, rows)) == want
 
 
+def brute_additions(rows):
+    """Spans that contexts add, by loops over the definition."""
+    def clean(w):
+        return w.strip(".,;:!?\"'()[]{}<>").lower()
+
+    def around(t, a, b):
+        plain_words = lambda ws: not any(c.isdigit() or c == "@" for w in ws for c in w)
+        blanks = r"[\x20\x09-\x0D]+"
+        before = [w for w in map(clean, re.split(blanks, t[:a])) if w]
+        after = [w for w in [clean(w) for w in re.split(blanks, t[b:]) if w][:2] if w][:1]
+        for n in (1, 2, 3):
+            if len(before) >= n and plain_words(before[-n:]):
+                yield f"{n} {' '.join(before[-n:])} _"
+        if after and plain_words(after):
+            yield f"0 _ {after[0]}"
+            if before and plain_words(before[-1:]):
+                yield f"1 {before[-1]} _ {after[0]}"
+
+    places, edges = [], {}
+    for k, t, *_ in rows:
+        base = plain(t or "")
+        for a, kind, b in [*base, *((a, None, b) for a, b in candidates(t or "", base))]:
+            for c in around(t, a, b):
+                places.append((k, t, a, b, kind, c))
+                edges.setdefault(c, set()).add(t[a:b].lower())
+    known = {}
+    for _, t, a, b, kind, _ in places:
+        if kind is not None:
+            known[t[a:b].lower()] = min(kind, known.get(t[a:b].lower(), 9))
+    found = {}
+    while True:
+        sure = {}
+        for c, strings in edges.items():
+            for of in range(4):
+                masses = [1.0 if known[s] == of else 0.0 for s in strings if s in known] + [found.get((s, of), 0.0) for s in strings if s not in known]
+                less = sum(0.25 * (1 - found.get((s, of), 0.0)) for s in strings if s not in known)
+                if sum(m > 0 for m in masses) >= 5 and sum(masses) / (len(strings) - less + 1) >= 0.75 - 1e-12:
+                    sure[c, of] = sum(masses) / (len(strings) - less + 1)
+        new = {}
+        for (c, of), p in sure.items():
+            for s in edges[c] - known.keys():
+                new[s, of] = 1 - (1 - new.get((s, of), 0.0)) * (1 - p)
+        if new.keys() == found.keys() and all(abs(new[x] - found[x]) < 1e-7 for x in new):
+            break
+        found = new
+    best = {}
+    for k, t, a, b, kind, c in places:
+        for of in range(4):
+            if kind is None and (c, of) in sure:
+                best[k, a, b] = max(best.get((k, a, b), (0, 0)), (round(found[t[a:b].lower(), of], 6), -of))
+    return {(k, KINDS[-of], a, b) for (k, a, b), (_, of) in best.items() if not any(k2 == k and (a2 <= a and b <= b2) and (a2, b2) != (a, b) for k2, a2, b2 in best)}
+
+
+def planted(seed):
+    """Texts with labelled identifiers of usual and unusual forms, and numbers that are none; and which of the unusual are planted."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    usual = {3: lambda: f"+1 ({d(3)}) 555-{d(4)}", 0: lambda: f"u{d(5)}@mail.example.com", 1: lambda: ".".join(str(rng.integers(256)) for _ in range(4))}
+    unseen = {3: lambda: rng.choice([f"555 {d(3)} {d(4)}", f"(555) {d(3)}-{d(4)}"]), 0: lambda: f"u{d(5)} [at] mail [dot] com", 1: lambda: f"fe80::{d(4)}:{d(3)}a"}
+    labels = {3: ["call me at", "phone:", "ring us on"], 0: ["mail to", "write us at"], 1: ["host at", "server"]}
+    rows, truth = [], set()
+    for i in range(400):
+        kind, is_usual = int(rng.choice([0, 1, 3])), rng.random() < 0.8
+        identifier = str((usual if is_usual else unseen)[kind]())
+        left = " ".join(rng.choice(words, rng.integers(1, 9))) + " " + str(rng.choice(labels[kind])) + " "
+        rows.append((i, f"{left}{identifier} {' '.join(rng.choice(words, rng.integers(1, 9)))} {d(6)} {rng.choice(words)}", None))
+        if not is_usual:
+            truth.add((i, KINDS[kind], len(left), len(left) + len(identifier)))
+    rows += [(1000 + i, f"{rng.choice(words)} {rng.choice(['look at', 'seen us at', 'the server with'])} {d(7)} {rng.choice(words)}", None) for i in range(120)]
+    return rows, truth
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_planted(spark, tmp_path, seed):
+    rows, truth = planted(seed)
+    added = {(k, p.split(":")[0], *map(int, p.split(":")[1:])) for k, spans in additions(query(spark, tmp_path, rows)).items() for p in spans.split(",")}
+    base = {(k, KINDS[i], a, b) for k, t, _ in rows for a, i, b in plain(t)}
+    assert added - base == brute_additions(rows)
+    assert len(truth & added) >= 0.5 * len(truth)
+
+
+def test_recall_of_unseen_identifiers():
+    found = [(truth, brute_additions(rows)) for rows, truth in map(planted, range(10))]
+    planted_, caught, added = (sum(len(f(t, g)) for t, g in found) for f in (lambda t, g: t, lambda t, g: t & g, lambda t, g: g))
+    print("unseen identifiers", planted_, "caught", caught, "added", added)
+    assert caught >= 0.6 * planted_ and caught >= 0.93 * added
+
+
+def test_far_words(spark, tmp_path):
+    rows = [(i, f"reach {'-' * 300} me {' ' * 500}at u{i}@mail.example.com", None) for i in range(9)]
+    text = f"reach {'-' * 300} me {' ' * 500}at jo_at_x99"
+    assert additions(query(spark, tmp_path, [*rows, (50, text, None)])) == {50: f"email:{len(text) - 9}:{len(text)}"}
+
+
 def test_candidates():
     places = lambda t: [t[a:b] for a, b in candidates(t, base_spans(t))]
     assert places("no 12 34 5 a@b.cd 555 1234, 99 12ab34 7") == ["12 34 5", "555 1234", "12ab34"]

@@ -63,6 +63,18 @@ def test_files(spark, tmp_path, monkeypatch):
     assert keys == sorted(keys)
 
 
+def test_many_files_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 5)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
+    spark.createDataFrame([(i, "some words " * (i % 7)) for i in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = token_files.op1_elias_fano_tokens(spark, str(tmp_path)).orderBy("doc_id").collect()
+    at = 0
+    for i, r in enumerate(got):
+        assert (r.doc_id, r.start) == (i, at)
+        at += r.n_tokens
+    assert at == sum(1 + 2 * (i % 7) for i in range(300))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert token_files.op1_elias_fano_tokens(spark, str(tmp_path)).count() == 0
