@@ -42,3 +42,8 @@ def clean_up(path: str) -> str:
     if head in (".", ""):
         return tail or "."
     return f"{head}/{tail}" if head != "/" else f"/{tail}"
+
+
+def canonical(path: str, cwd: str) -> str:
+    """An absolute path without dots, empty parts and links."""
+    return os.path.realpath(os.path.join(cwd, path))

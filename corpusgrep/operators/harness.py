@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,27 @@ def reference_result(counts: DataFrame, preferred: list[str], program: str = "pr
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that only one side has, as often as it has them more."""
+    """Rows that only one side has, as often as it has them more.  Each side is read once, and counted before the shuffle."""
     right = right.select(*left.columns)
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    both = left.withColumn("__n", F.lit(1)).unionByName(right.withColumn("__n", F.lit(-1)))
+    more = both.groupBy(*left.columns).agg(F.sum("__n").alias("__n")).where("__n != 0")
+    side = F.when(F.col("__n") > 0, "left").otherwise("right")
+    return more.withColumn("side", side).withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n")))).select(*left.columns, "side")
+
+
+def substitute(template: Column, values: dict[str, Column]) -> Column:
+    """The template with each ``${name}`` replaced by its value; a null value counts as empty, unknown names stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("${" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def report_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): a row of a Markdown table for each row; nulls are empty, and bars inside a cell are escaped."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def write_report(df: DataFrame, columns: list[str], path: str) -> None:
+    """Append the rows of a report as text files."""
+    report_rows(df, columns).write.mode("append").text(path)

@@ -65,16 +65,35 @@ def grep(df: DataFrame, spec: SearchSpec, content: str = "content") -> DataFrame
         if spec.plain is None and translated.java_file is not None:
             # Stops at a file's first match, and spares the others from being split.
             df = df.where(F.rlike(latin1.view(content), F.lit(translated.java_file)))
-        found = lines(df, content)
-        line = F.col("line")
-        if spec.plain is not None:
-            text = F.lit(latin1.literal(spec.plain))
-            return found.where(F.contains(line, text)).select(*_outputs(keep, line, F.instr(line, text), text))
-        rx = F.lit(translated.java)
-        return found.where(F.rlike(line, rx)).select(*_outputs(keep, line, F.regexp_instr(line, rx), F.regexp_extract(line, translated.java, 0)))
+        return _of_lines(lines(df, content), spec, keep)
     return _python(df, content, keep, translated.whole if engine == "whole" else translated.python, engine == "whole")
 
 
+def _of_lines(found: DataFrame, spec: SearchSpec, keep: list[str]) -> DataFrame:
+    line, translated = F.col("line"), spec.translated()
+    if spec.plain is not None:
+        text = F.lit(latin1.literal(spec.plain))
+        return found.where(F.contains(line, text)).select(*_outputs(keep, line, F.instr(line, text), text))
+    rx = F.lit(translated.java)
+    return found.where(F.rlike(line, rx)).select(*_outputs(keep, line, F.regexp_instr(line, rx), F.regexp_extract(line, translated.java, 0)))
+
+
+def grep_lines(df: DataFrame, spec: SearchSpec) -> DataFrame:
+    """grep() on (line_no, line) rows, with line in the Latin-1 view, such as those of files too large for one row.
+
+    No shuffle.  Patterns that could see other lines can't be searched for in lines of their own.
+    """
+    keep = [c for c in df.columns if c not in MATCH_COLUMNS]
+    if spec.chosen_engine() == "whole":
+        raise ValueError("the pattern looks beyond a line")
+    if spec.never:
+        df = df.where(F.lit(False))
+    if spec.chosen_engine() == "jvm":
+        return _of_lines(df, spec, keep)
+    found = _python(df.withColumnRenamed("line_no", "__line_no").withColumn("line", F.encode("line", "ISO-8859-1")), "line", [*keep, "__line_no"], spec.translated().python, False)
+    return found.select(*keep, F.col("__line_no").alias("line_no"), *MATCH_COLUMNS[1:])
+
+
 def _python(df: DataFrame, content: str, keep: list[str], pattern: str, whole: bool) -> DataFrame:
     """grep() by Python's regexes over the bytes of Arrow batches, one line at a time or on whole files."""
     names = [f"__c{i}" for i in range(len(keep))]

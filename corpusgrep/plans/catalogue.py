@@ -15,6 +15,7 @@ from corpusgrep.functions import paths
 from corpusgrep.operators import aggregate, harness, render
 from corpusgrep.operators.match import grep, lines
 from corpusgrep.operators.selection import DirExclusion, Selection, select_files
+from corpusgrep.plans import scenarios
 from corpusgrep.plans.spec import SearchSpec
 from corpusgrep.sources.table import from_table, spread
 
@@ -70,8 +71,8 @@ SEARCHES: list[tuple[str, SearchSpec, str, str]] = [
     ("grep_ignore_case", SearchSpec("the", "ignore"), "the", "i"),
     ("grep_word", SearchSpec("der", "sensitive", word=True), r"\bder\b", "c"),
     ("grep_word_ignore_case", SearchSpec("the", "ignore", word=True), r"\bthe\b", "i"),
-    ("grep_literal_word", SearchSpec("a.", "sensitive", literal=True, word=False), r"a\.", "c"),
-    ("grep_literal_whole_word", SearchSpec("License", "sensitive", literal=True, word=True), r"\bLicense\b", "c"),
+    ("grep_literal_quoted", SearchSpec("a.", "sensitive", literal=True), r"a\.", "c"),
+    ("grep_literal_word", SearchSpec("License", "sensitive", literal=True, word=True), r"\bLicense\b", "c"),
     ("grep_smart_case_lower", SearchSpec("licensed under"), "licensed under", "i"),
     ("grep_smart_case_upper", SearchSpec("Licensed"), "Licensed", "c"),
     ("grep_class", SearchSpec(r"[[:digit:]]{1,3}(\.[0-9]{1,3}){3}", "sensitive"), r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "c"),
@@ -183,10 +184,6 @@ def _traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _help_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.type_listing(Selection.of([("set", "mine:ext:xyz,txt"), ("add", "mine:is:Makefile")]).table(spark).where("type in ('ada', 'lua', 'make', 'mine', 'rake')"))
-
-
-def _help_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.type_listing(Selection.of([("set", "mine:ext:xyz,txt"), ("add", "mine:is:Makefile")]).table(spark))
 
 
@@ -249,11 +246,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "count_per_file": _per_file, "matches_nested": _nested, "total_matches": _total(_SPEC), "exit_code_nomatch": _total(SearchSpec("NO_MATCH_AT_ALL")),
         "newline_literal": _total(SearchSpec("a\nb", literal=True)), "line_count": _line_count, "bytes_scanned": _bytes_scanned, "ignore_dir": _ignore_dir, "traversal_stats": _traversal,
         "render_prefixed": _rendered(render.Output()), "render_column": _rendered(render.Output(column=True)), "render_no_line_number": _rendered(render.Output(line_number=False)),
-        "render_color": _rendered(render.Output(colour=True, column=True)), "render_heading": _rendered(render.Output(heading=True)), "render_null": _rendered(render.Output(null=True)),
-        "help_types": _help_types, "help_types_all": _help_types_all, "path_functions": _path_functions, "multi_root_union": _roots,
+        "render_color": _rendered(render.Output(colour=True, column=True)), "render_heading": _rendered(render.Output(heading=True)), "render_heading_color": _rendered(render.Output(heading=True, colour=True)), "render_null": _rendered(render.Output(null=True)),
+        "help_types": _help_types, "path_functions": _path_functions, "multi_root_union": _roots,
         "bench_matrix": _bench_matrix, "bench_stats": _bench_stats, "bench_argmax": _bench_argmax, "result_diff": _result_diff, "best_files": _best_lines,
     }
-    return out
+    return out | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -282,9 +279,9 @@ def oracle_sql() -> dict[str, str]:
         "render_no_line_number": f"{_HITS} SELECT path || ':' || line AS value FROM h",
         "render_color": f"{_HITS} SELECT {_FILE} || path || {_END} || ':' || {_LINE} || line_no || {_END} || ':' || col || ':' || pre || {_MARK} || match || {_END} || post AS value FROM h",
         "render_heading": f"{_HITS} SELECT path || chr(10) || string_agg(line_no || ':' || line, chr(10) ORDER BY line_no, line) AS value FROM h GROUP BY path",
+        "render_heading_color": f"{_HITS} SELECT {_FILE} || path || {_END} || chr(10) || string_agg({_LINE} || line_no || {_END} || ':' || pre || {_MARK} || match || {_END} || post, chr(10) ORDER BY line_no) AS value FROM h GROUP BY path",
         "render_null": f"{_HITS} SELECT path || chr(0) || line_no || ':' || line AS value FROM h",
-        "help_types": "SELECT * FROM (VALUES ('ada', '  ada            .ada .adb .ads'), ('lua', '  lua            .lua'), ('make', '  make           .mk .mak; makefile Makefile Makefile.Debug Makefile.Release'), ('mine', '  mine           .xyz .txt; Makefile'), ('rake', '  rake           Rakefile')) t(type, value)",
-        "help_types_all": """SELECT * FROM (VALUES ('actionscript', '  actionscript   .as .mxml'), ('ada', '  ada            .ada .adb .ads'), ('asm', '  asm            .asm .s .S'), ('asp', '  asp            .asp'),
+        "help_types": """SELECT * FROM (VALUES ('actionscript', '  actionscript   .as .mxml'), ('ada', '  ada            .ada .adb .ads'), ('asm', '  asm            .asm .s .S'), ('asp', '  asp            .asp'),
   ('aspx', '  aspx           .master .ascx .asmx .aspx .svc'), ('autoconf', '  autoconf       .ac .in'), ('automake', '  automake       .am .in'), ('awk', '  awk            .awk'),
   ('batch', '  batch          .bat .cmd'), ('cc', '  cc             .c .h .xs'), ('cfmx', '  cfmx           .cfc .cfm .cfml'), ('clojure', '  clojure        .clj'),
   ('cmake', '  cmake          .cmake; CMakeLists.txt'), ('coffeescript', '  coffeescript   .coffee'), ('cpp', '  cpp            .cpp .cc .cxx .m .hpp .hh .h .hxx'), ('csharp', '  csharp         .cs'),
@@ -320,4 +317,4 @@ SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION
         "best_files": f"""WITH {_lines_sql('documents', 'lang, doc_id', 'text')}, c AS (SELECT lang, doc_id, count(*) AS n FROM l WHERE {_where(_SQL_PATTERN)} GROUP BY lang, doc_id)
 SELECT lang, doc_id, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, doc_id) AS INTEGER) AS place FROM c QUALIFY place <= 3""",
     }
-    return out
+    return out | scenarios.oracle_sql()

@@ -6,6 +6,7 @@ import os
 import sys
 from dataclasses import dataclass, field
 
+import pyspark
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from corpusgrep.operators.selection import DirExclusion, Selection, SelectionErr
 from corpusgrep.plans import rc
 from corpusgrep.plans.rc import ArgumentError
 from corpusgrep.plans.spec import SearchSpec
-from corpusgrep.sources.tree import TreeSource, read_tree, walk
+from corpusgrep.sources.tree import Found, read_tree, walk
 
 VERSION = "corpusgrep 0.1"
 #: Long options without and with a value.
@@ -167,8 +168,39 @@ def arguments(argv: list[str], cwd: str = ".", home: str | None = None) -> list[
     return rc.options(cwd, home, "--test-noenv-user" not in before) + argv
 
 
+#: What each option does, for the help; options that undo another are listed with it.
+HELP = {
+    "ignore-case": "take upper and lower case as equal", "smart-case": "take them as equal unless the pattern has an upper-case letter (default)",
+    "word-regexp": "match whole words only", "literal": "take the pattern as plain text", "with-filename": "write the file name before each match",
+    "no-with-filename": "write the file name on a line of its own before its matches", "line-number": "write line numbers (default)", "column": "write the column of each match",
+    "color": "colour file names, line numbers and matches", "null": "write a zero byte after file names", "recurse": "search directories below the given ones (default)",
+    "follow": "follow links inside directories", "known-types": "search files of known types only (default)", "ignore-dir": "leave out directories of this name",
+    "include": "search files whose names match this pattern", "exclude": "leave out files whose names match this pattern", "ignore-file": "leave out files by kind:value, with the kinds ext, is, match",
+    "type": "search files of this type, or none with no before its name", "type-set": "define a type as name:kind:value", "type-add": "add to a type", "type-del": "forget a type",
+    "dirjobs": "accepted, as Spark plans the work", "jobs": "accepted, as Spark plans the work", "noenv": "read no configuration files", "help": "show this",
+    "help-types": "list the file types", "version": "show the version",
+}
+
+
 def usage() -> str:
-    return "\n".join(["Usage: corpusgrep [OPTION...] PATTERN [FILES OR DIRECTORIES]", "", *(f"  --{o}" for o in FLAGS), *(f"  --{o}=VALUE" for o in VALUES)])
+    letters = {option: letter for letter, option in reversed(SHORT.items())}
+    name = lambda o: (f"-{letters[o]}, " if o in letters else "    ") + f"--{o}" + ("=VALUE" if o in VALUES else "")
+    return "\n".join(["Usage: corpusgrep [OPTION...] PATTERN [FILES OR DIRECTORIES]", "", *(f"  {name(o):<32}{text}" for o, text in HELP.items())])
+
+
+def version() -> str:
+    return "\n".join([VERSION, f"Spark {pyspark.__version__}, Python {sys.version.split()[0]}", "Engines: jvm (built-in expressions), python (byte regexes on lines), whole (byte regexes on files)"])
+
+
+def style(request: Request, terminal: bool) -> render.Output:
+    """On a terminal, headings and colours unless told otherwise; elsewhere neither."""
+    heading = terminal if request.heading is None else request.heading
+    return render.Output(heading, request.line_number, request.column, terminal if request.colour is None else request.colour, request.null)
+
+
+def diagnostics(found: Found) -> list[str]:
+    """Notices of a walk as lines for stderr: what couldn't be read is an error, what was left out a warning."""
+    return [f"corpusgrep: {'error' if notice.startswith('could not') else 'warning'}: {notice}" for notice in found.notices]
 
 
 def run(spark: SparkSession, request: Request, out=sys.stdout, err=sys.stderr) -> int:
@@ -176,23 +208,19 @@ def run(spark: SparkSession, request: Request, out=sys.stdout, err=sys.stderr) -
     spec = SearchSpec(request.pattern, request.case, request.literal, request.word)
     spec.translated()
     selection, dirs = Selection.of(request.selectors), DirExclusion(request.dirs)
-    for notice in walk(request.paths, request.recurse, request.follow, selection.accepts, dirs.excludes).notices:
-        print(f"corpusgrep: {notice}", file=err)
-    spark.dataSource.register(TreeSource)
-    files = read_tree(spark, request.paths, request.selectors, request.dirs, request.recurse, request.follow)
+    found = walk(request.paths, request.recurse, request.follow, selection.accepts, dirs.excludes)
+    for line in diagnostics(found):
+        print(line, file=err)
+    files = read_tree(spark, request.paths, found=found)
     here = os.getcwd().rstrip("/") + "/"
-    relative = all(not os.path.isabs(p) for p in request.paths)
-    if relative:
+    if all(not os.path.isabs(p) for p in request.paths):
         files = files.withColumn("path", F.when(F.startswith("path", F.lit(here)), F.substring(F.col("path"), len(here) + 1, 1 << 30)).otherwise(F.col("path")))
-    matches = grep(files.select("path", "content"), spec)
-    terminal = hasattr(out, "isatty") and out.isatty()
-    heading = terminal if request.heading is None else request.heading
-    style = render.Output(heading, request.line_number, request.column, terminal if request.colour is None else request.colour, request.null)
-    shown = render.render(matches, style)
-    shown = shown.orderBy("path") if heading else shown.orderBy("path", "line_no")
+    how = style(request, hasattr(out, "isatty") and out.isatty())
+    shown = render.render(grep(files.select("path", "content"), spec), how)
+    shown = shown.orderBy("path") if how.heading else shown.orderBy("path", "line_no")
     n = 0
     for row in shown.toLocalIterator():
-        if heading and n:
+        if how.heading and n:
             print(file=out)
         print(row["value"], file=out)
         n += 1
@@ -203,7 +231,7 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout, err
     try:
         request = parse(arguments(argv, os.getcwd(), os.environ.get("HOME")))
         if request.info == "version":
-            print(VERSION, file=out)
+            print(version(), file=out)
             return 0
         if request.info in ("help", "usage"):
             print(usage(), file=out)

@@ -16,6 +16,7 @@ import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -123,24 +124,33 @@ def deal(files: list[tuple[str, bool, int]], partition_bytes: int = PARTITION_BY
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.errors = options.get("errors", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
+        files = json.loads(self.options["found"]) if "found" in self.options else self._walk().files
+        return [_Files(part) for part in deal([f for f in files if f[2] > 0])] or [_Files([])]
+
+    def _walk(self) -> Found:
         selection = Selection.of([tuple(x) for x in json.loads(self.options.get("selectors", "[]"))])
         dirs = DirExclusion([tuple(x) for x in json.loads(self.options.get("dirs", "[]"))])
-        select = self.options.get("select", "true") == "true"
-        found = walk(json.loads(self.options.get("starts", "[]")), self.options.get("recurse", "true") == "true", self.options.get("follow", "false") == "true",
-                     selection.accepts if select else lambda name: True, dirs.excludes)
-        return [_Files(part) for part in deal([f for f in found.files if f[2] > 0])] or [_Files([])]
+        call = lambda name, default: CloudPickleSerializer().loads(bytes.fromhex(self.options[name])) if name in self.options else default
+        accepts = selection.accepts if self.options.get("select", "true") == "true" else lambda name: True
+        return walk(json.loads(self.options.get("starts", "[]")), self.options.get("recurse", "true") == "true", self.options.get("follow", "false") == "true",
+                    call("accepts", accepts), call("excludes", dirs.excludes))
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path, explicit, _ in partition.files:
             try:
                 with open(path, "rb") as f:
-                    data = f.read()
+                    data, error = f.read(), None
             except OSError as e:  # gone or not readable since the walk
                 print(f"error: could not read {path}: {e.strerror}", file=sys.stderr)
-                continue
-            yield path, path.rsplit("/", 1)[-1], data, len(data), explicit
+                data, error = None, e.strerror
+            row = (path, path.rsplit("/", 1)[-1], data, None if data is None else len(data), explicit)
+            if self.errors:
+                yield *row, error
+            elif error is None:
+                yield row
 
 
 class TreeSource(DataSource):
@@ -149,17 +159,26 @@ class TreeSource(DataSource):
         return "srctree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + ", error string" * (self.options.get("errors", "false") == "true")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
 def read_tree(spark: SparkSession, starts: list[str], selectors: list[tuple[str, str]] = (), dirs: list[tuple[str, bool]] = (),
-              recurse: bool = True, follow: bool = False, select: bool = True) -> DataFrame:
-    """The files of the trees that the selectors accept, with their bytes; empty files are left out."""
+              recurse: bool = True, follow: bool = False, select: bool = True, accepts: Callable[[str], bool] | None = None,
+              excludes: Callable[[str], bool] | None = None, found: Found | None = None, errors: bool = False) -> DataFrame:
+    """The files of the trees that the selectors accept, with their bytes; empty files are left out.
+
+    accepts and excludes are predicates on base names in place of the selectors and dirs.  With
+    found, what a walk has found is read and nothing is walked again.  With errors, files that
+    can't be read have a row with the reason in ``error``; else they are only reported on stderr.
+    """
     spark.dataSource.register(TreeSource)
     absolute = [os.path.abspath(s) if not os.path.isabs(s) else s for s in (starts or ["."])]
-    return (spark.read.format("srctree").option("starts", json.dumps(absolute)).option("selectors", json.dumps(list(selectors)))
-            .option("dirs", json.dumps(list(dirs))).option("recurse", str(recurse).lower()).option("follow", str(follow).lower())
-            .option("select", str(select).lower()).load())
+    options = {"starts": json.dumps(absolute), "selectors": json.dumps(list(selectors)), "dirs": json.dumps(list(dirs)), "recurse": str(recurse).lower(),
+               "follow": str(follow).lower(), "select": str(select).lower(), "errors": str(errors).lower()}
+    options |= {name: CloudPickleSerializer().dumps(f).hex() for name, f in (("accepts", accepts), ("excludes", excludes)) if f is not None}
+    if found is not None:
+        options["found"] = json.dumps([(os.path.abspath(path), explicit, size) for path, explicit, size in found.files])
+    return spark.read.format("srctree").options(**options).load()
