@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task numbers in gapless_rank.
-ROWS_PER_BUCKET = 1_000_000
 #: Copies of one row that one array element run stands for.
 RUN = 65_536
 
@@ -140,9 +139,11 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], rank: str,
 
     Equal rows are folded to a count first, so a row repeated any number of times costs one row of
     the shuffle for each task.  The order within a group is by hash bucket, then by ``order``.
-    ``groups`` must not be null; ``rows`` (the size of df) sets the number of buckets.
+    ``groups`` must not be null.  A group has as many buckets as the square root of ``rows``, the
+    size of df, so that neither a bucket nor the buckets of a group are more than about that many
+    rows for one task, even if one group has them all.
     """
-    buckets = max(1, -(-rows // ROWS_PER_BUCKET))
+    buckets = max(1, isqrt(rows))
     folded = df.groupBy(*df.columns).agg(F.count("*").alias("__n")).withColumn(
         "__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)) if buckets > 1 else F.lit(0).cast("long"))
     totals = folded.groupBy(*groups, "__bucket").agg(F.sum("__n").alias("__size"))

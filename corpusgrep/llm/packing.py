@@ -154,8 +154,7 @@ def pack(spark: SparkSession, df: DataFrame, order: list[str], capacity: int) ->
     by broadcast: it has a few rows for each pattern, and there are at most as many patterns as the
     fitted ones (bounded by capacity and PARTNERS) and one for each step of best fit, each of which
     uses up a length; with 1024 lengths these are some thousand rows.  Which of equally long pieces
-    gets which place follows their order columns, and above ROWS_PER_BUCKET rows first a hash of
-    these; rows equal in all columns get places of their own.  An empty table gives an empty result.
+    gets which place follows a hash of their order columns, then these; rows equal in all columns get places of their own.  An empty table gives an empty result.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in df.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows

@@ -41,8 +41,8 @@ def shard_slots(spark: SparkSession, documents: DataFrame, shards: int = 16) ->
     """Digest of a sharding of documents by doc_id, with gapless slots in each shard.
 
     Null texts have no bytes (size 1); null ids are one key.  Rows equal in all
-    digest columns get slots of their own.  Slots follow id, checksum and size, and above
-    ROWS_PER_BUCKET rows first a hash of these.  An empty table gives an empty result, and other
+    digest columns get slots of their own.  Slots follow a hash of id, checksum and size, then
+    these.  An empty table gives an empty result, and other
     columns are ignored.  Only ids, sizes and checksums are shuffled.
     """
     digest = documents.select(

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -71,3 +72,27 @@ def test_agrees_with_labels(spark):
     caught = table.get((0, False), 0) / max(1, table.get((0, False), 0) + table.get((0, True), 0))
     print(table)
     assert kept > 0.99 and caught > 0.9
+
+
+def one_by_one(votes):
+    """Posteriors by expectation-maximisation over single documents, in plain loops."""
+    prior, tables = 0.85, [[0.22] * len(votes[0]), [0.004] * len(votes[0])]
+    odds = lambda v: math.log(prior / (1 - prior)) + sum(
+        min(0, math.log(g / b)) if x < 0 else max(0, math.log((1 - g) / (1 - b))) if x > 0 else 0 for x, b, g in zip(v, *tables, strict=True))
+    for _ in range(100):
+        p = [1 / (1 + math.exp(-odds(v))) for v in votes]
+        tables = [[(sum(q for q, v in zip(share, votes, strict=True) if v[r] < 0) + 50 * start) / (sum(q for q, v in zip(share, votes, strict=True) if v[r]) + 50)
+                   for r in range(len(votes[0]))] for share, start in (([1 - q for q in p], 0.22), (p, 0.004))]
+        prior = min(0.97, max(0.05, (sum(p) + 0.85 * 50) / (len(p) + 50)))
+    return [1 / (1 + math.exp(-odds(v))) for v in votes]
+
+
+def test_posterior_by_definition(spark):
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(90)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 200))) for _ in range(60)] + ["#$ && ## a !! " * 20 for _ in range(9)] + ["SHOUT NOW! " * 30, "", "1 2 3 4 5 6"] + ["same line\n" * 40] * 6
+    measured = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rules = quality.votes()
+    got = quality.posterior(measured).select("doc_id", "quality_probability", *(v.alias(f"vote_{n}") for n, v in rules.items())).orderBy("doc_id").collect()
+    want = one_by_one([[r[f"vote_{n}"] for n in rules] for r in got])
+    assert np.allclose([r.quality_probability for r in got], want, atol=1e-9) and min(want) < 0.5 < max(want)

@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusgrep.llm.sharding import rendezvous, shard, shard_slots
@@ -23,6 +26,25 @@ def test_slots_and_growth(spark):
     assert 100 < sum(r.grown_shard == 16 for r in got) < 260
 
 
+def by_definition(key, weights):
+    """The shard by another implementation of the hash, one score at a time."""
+    scores = []
+    for i, weight in enumerate(weights):
+        h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", i), h)
+        scores.append((-weight / math.log(((h >> 11) + 0.5) / 2**53), i))
+    return max(scores)[1]
+
+
+def test_shards_by_definition(spark):
+    keys = [None, 0, -1, 2**62, *range(1, 400)]
+    df = spark.createDataFrame([(k, "t", "") for k in keys], SCHEMA)
+    for r in shard_slots(spark, df).collect():
+        assert (r.shard, r.grown_shard) == (by_definition(r.doc_id, [1.0] * 16), by_definition(r.doc_id, [1.0] * 17))
+    weights = [1.0, 2.5, 0.5]
+    assert all(r.shard == by_definition(r.doc_id, weights) for r in shard(df, "doc_id", weights).collect())
+
+
 def test_weights(spark):
     n = Counter(r.s for r in spark.range(8000).select(rendezvous(F.col("id"), [1.0, 3.0]).alias("s")).collect())
     assert 0.22 < n[0] / 8000 < 0.28
