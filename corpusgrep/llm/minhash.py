@@ -12,8 +12,8 @@ members from different ones could be the one link between them, so all such
 pairs are compared: the bucket is cut into blocks of bounded size, and a task
 gets two of them.  At first these are wide blocks of signatures alone; only
 members that have a partner of similar signature go on, with their texts, in
-narrow blocks, where a task compares sets and returns no more links than join
-its members.  Pairs inside a component can't change it and aren't needed.
+blocks of bounded bytes, where a task compares sets and returns no more links
+than join its members.  Pairs inside a component can't change it and aren't needed.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ PERMUTATIONS = BANDS * ROWS
 LEAST_EQUAL = 70
 PERCENT = 75
 _CHUNK = 2048
-#: Members of a block of signatures and of a block of texts; a task compares two of them.
-WIDE, BLOCK = 4096, 1024
+#: Members of a block of signatures, of which a task compares two, and bytes of compressed texts that a task compares at most, or twice that.
+WIDE, TILE_BYTES = 4096, 4 << 20
 #: Bytes of shingle sets that a task keeps.
 SETS_BYTES = 64 << 20
 
@@ -150,22 +150,23 @@ class _Sets:
 class _Tile:
     """Members of two blocks of a bucket, or of one, and which of them could be linked by their signatures."""
 
-    def __init__(self, tile: pa.Table, block: str):
+    def __init__(self, tile: pa.Table, *blocks: str):
         self.nodes, roots = tile["node"].to_pylist(), tile["root"].to_pylist()
         self.marks = np.frombuffer(b"".join(tile["s"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
         self.low = np.ascontiguousarray(self.marks.astype(np.uint8))
         band = tile["band"][0].as_py()
         self.bands = np.ascontiguousarray(self.marks[:, : ROWS * band]).reshape(len(self.nodes), band, ROWS)
-        self.counts, self.block = tile["n"].to_numpy(), tile[block].to_numpy()
-        self.across = len(set(self.block.tolist())) > 1
+        self.counts = tile["n"].to_numpy()
+        #: Pairs inside a block are compared where the block meets itself.
+        self.blocks = [b for b in (tile[name].to_numpy() for name in blocks) if len(np.unique(b)) > 1]
         ids = {r: i for i, r in enumerate(dict.fromkeys(roots))}
         self.group = np.array([ids[r] for r in roots])
 
     def partners(self, i: int) -> np.ndarray:
-        """Members of other components, and of the other block, of similar size and signature.  Pairs that share an earlier band are left to that bucket."""
+        """Members of other components, and of other blocks, of similar size and signature.  Pairs that share an earlier band are left to that bucket."""
         others = self.group != self.group[i]
-        if self.across:
-            others &= self.block != self.block[i]
+        for block in self.blocks:
+            others &= block != block[i]
         others &= np.minimum(self.counts, self.counts[i]) * 100 >= PERCENT * np.maximum(self.counts, self.counts[i])
         at = np.flatnonzero(others)
         at = at[(self.low[at] == self.low[i]).sum(1) >= LEAST_EQUAL]  # at least as many bytes are equal as minima
@@ -174,18 +175,16 @@ class _Tile:
 
 
 def _active_of_tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """(i, j, block, node): members with a partner, for each pair of narrow blocks that has the two."""
-    tile, out = _Tile(rows, "wide"), []
-    narrow = rows["block"].to_numpy()
-    for i, node in enumerate(tile.nodes):
-        out += [(min(narrow[i], b), max(narrow[i], b), narrow[i], node) for b in np.unique(narrow[tile.partners(i)]).tolist()]
-    return pa.table({"band": pa.array([key[0].as_py()] * len(out), pa.int32()), "bucket": pa.array([key[1].as_py()] * len(out), pa.int64()),
-                     **{c: pa.array([x[k] for x in out], pa.int32()) for k, c in enumerate(("i", "j", "block"))}, "node": pa.array([x[3] for x in out], pa.binary())})
+    """(band, bucket, i, j, wide, node): the members of a tile of signatures that have a partner."""
+    tile = _Tile(rows, "wide")
+    on = pa.array([i for i in range(len(tile.nodes)) if len(tile.partners(i))], pa.int64())
+    same = [pa.array([k.as_py()] * len(on), t) for k, t in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+    return pa.table([*same, rows["wide"].take(on), rows["node"].take(on)], ["band", "bucket", "i", "j", "wide", "node"])
 
 
 def _links_of_tile(rows: pa.Table) -> pa.Table:
     """Links on full sets between members of different components, as few as join them."""
-    tile, sets = _Tile(rows, "block"), _Sets(rows["z"])
+    tile, sets = _Tile(rows, "wide", "part"), _Sets(rows["z"])
     group, out = tile.group, ([], [])
     for i in np.argsort(np.bincount(group)[group], kind="stable").tolist():  # members of small components first
         for j in tile.partners(i).tolist():
@@ -242,17 +241,19 @@ class NearDuplicates:
         split = placed.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "bucket")
         open_ = self.stages.write(placed.join(split, ["band", "bucket"]), "open")
         marks = classes.select("node", "n", "s")
-        nth = lambda size, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / size).cast("int")).cast("int")
+        wide, key = F.ceil(F.col("size") / WIDE).cast("int"), ["band", "bucket", "i", "j"]
         # A block meets every other block, and itself: tile (i, i) compares inside the block.
-        tiles = open_.withColumn("wide", nth(WIDE, 0)).withColumn("block", F.col("wide") * (WIDE // BLOCK) + F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.least("size", F.lit(WIDE)) / BLOCK).cast("int")).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / WIDE).cast("int") - 1))).select(
-            "band", "bucket", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "block", "node", "root")
-        tiles = self.stages.write(tiles, "tiles")
-        active = tiles.join(marks, "node").groupBy("band", "bucket", "i", "j").applyInArrow(_active_of_tile, "band int, bucket long, i int, j int, block int, node binary")
-        active = self.stages.write(active.distinct(), "active")
-        roots_of = open_.select("node", "root").distinct()
-        full = active.join(roots_of, "node").join(marks, "node").join(self.texts, "node")
-        return full.groupBy("band", "bucket", "i", "j").applyInArrow(_links_of_tile, "a binary, b binary")
+        tiles = self.stages.write(open_.withColumn("wide", F.pmod(F.xxhash64("node"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).select(
+            "band", "bucket", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "node", "root"), "tiles")
+        active = tiles.join(marks, "node").groupBy(*key).applyInArrow(_active_of_tile, "band int, bucket long, i int, j int, wide int, node binary")
+        active = self.stages.write(active.join(self.texts.select("node", F.octet_length("z").alias("bytes")), "node"), "active")
+        # The same by bytes, for the members that are left.
+        parts = active.groupBy(*key).agg(F.ceil(F.sum("bytes") / TILE_BYTES).cast("int").alias("parts"))
+        placed = active.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+            *key, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "wide", "part", "node")
+        full = placed.join(open_.select("node", "root").distinct(), "node").join(marks, "node").join(self.texts, "node")
+        return full.groupBy(*key, "a", "b").applyInArrow(_links_of_tile, "a binary, b binary")
 
     def _confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""

@@ -48,10 +48,10 @@ def make(seed, bases=12, copies=9):
     return texts + ["", None, " \n", "One two", "one  TWO", "one two three four five", "one two three four", "é É é É é É", "é é é é é é"] + ["hot copy of a text here"] * 60
 
 
-@pytest.mark.parametrize("seed,wide,block", [(0, 4096, 1024), (1, 6, 3)])
-def test_against_all_pairs(spark, monkeypatch, seed, wide, block):
+@pytest.mark.parametrize("seed,wide,tile", [(0, 4096, 4 << 20), (1, 6, 300), (2, 4096, 500)])
+def test_against_all_pairs(spark, monkeypatch, seed, wide, tile):
     monkeypatch.setattr(minhash, "WIDE", wide)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TILE_BYTES", tile)
     monkeypatch.setattr(minhash, "SETS_BYTES", 4000)
     texts = make(seed)
     rows = [(int(k), t) for k, t in zip(np.random.default_rng(seed).permutation(len(texts)), texts, strict=True)] + [(None, "alone in here"), (None, texts[0]), (7, "dup row"), (7, "dup row")]
