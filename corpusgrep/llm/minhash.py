@@ -243,9 +243,9 @@ class NearDuplicates:
         marks = classes.select("node", "n", "s")
         wide, key = F.ceil(F.col("size") / WIDE).cast("int"), ["band", "bucket", "i", "j"]
         # A block meets every other block, and itself: tile (i, i) compares inside the block.
-        tiles = self.stages.write(open_.withColumn("wide", F.pmod(F.xxhash64("node"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).select(
-            "band", "bucket", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "node", "root"), "tiles")
-        active = tiles.join(marks, "node").groupBy(*key).applyInArrow(_active_of_tile, "band int, bucket long, i int, j int, wide int, node binary")
+        self.tiles = open_.withColumn("wide", F.pmod(F.xxhash64("node"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).select(
+            "band", "bucket", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "node", "root")
+        active = self.tiles.join(marks, "node").groupBy(*key).applyInArrow(_active_of_tile, "band int, bucket long, i int, j int, wide int, node binary")
         active = self.stages.write(active.join(self.texts.select("node", F.octet_length("z").alias("bytes")), "node"), "active")
         # The same by bytes, for the members that are left.
         parts = active.groupBy(*key).agg(F.ceil(F.sum("bytes") / TILE_BYTES).cast("int").alias("parts"))

@@ -80,8 +80,7 @@ def test_large_bucket_of_strangers(spark):
     work.texts = spark.createDataFrame([], "node binary, z binary")
     links = work._between(members, spark.createDataFrame([], "a binary, b binary"), classes)
     assert links.count() == 0 and spark.read.parquet(work.stages.path("active")).count() == 0
-    tiles = spark.read.parquet(work.stages.path("tiles"))
-    assert tiles.count() == n * -(-n // minhash.WIDE) and "z" not in tiles.columns
+    assert work.tiles.count() == n * -(-n // minhash.WIDE) and "z" not in work.tiles.columns
 
 
 def test_empty(spark):
