@@ -279,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "render_no_line_number": f"{_HITS} SELECT path || ':' || line AS value FROM h",
         "render_color": f"{_HITS} SELECT {_FILE} || path || {_END} || ':' || {_LINE} || line_no || {_END} || ':' || col || ':' || pre || {_MARK} || match || {_END} || post AS value FROM h",
         "render_heading": f"{_HITS} SELECT path || chr(10) || string_agg(line_no || ':' || line, chr(10) ORDER BY line_no, line) AS value FROM h GROUP BY path",
-        "render_heading_color": f"{_HITS} SELECT {_FILE} || path || {_END} || chr(10) || string_agg({_LINE} || line_no || {_END} || ':' || pre || {_MARK} || match || {_END} || post, chr(10) ORDER BY line_no) AS value FROM h GROUP BY path",
+        "render_heading_color": f"{_HITS} SELECT {_FILE} || path || {_END} || chr(10) || string_agg({_LINE} || line_no || {_END} || ':' || pre || {_MARK} || match || {_END} || post, chr(10) ORDER BY line_no, pre || {_MARK} || match || {_END} || post) AS value FROM h GROUP BY path",
         "render_null": f"{_HITS} SELECT path || chr(0) || line_no || ':' || line AS value FROM h",
         "help_types": """SELECT * FROM (VALUES ('actionscript', '  actionscript   .as .mxml'), ('ada', '  ada            .ada .adb .ads'), ('asm', '  asm            .asm .s .S'), ('asp', '  asp            .asp'),
   ('aspx', '  aspx           .master .ascx .asmx .aspx .svc'), ('autoconf', '  autoconf       .ac .in'), ('automake', '  automake       .am .in'), ('awk', '  awk            .awk'),
