@@ -17,19 +17,22 @@ MATCH_COLUMNS = ["line_no", "col", "pre", "match", "post", "line"]
 
 def _body(content: Column) -> Column:
     """The Latin-1 view without a line feed at its end, which ends the last line and begins none."""
-    view = latin1.view(content)
-    return F.when(F.endswith(view, F.lit("\n")), F.substring(view, F.lit(1), F.length(view) - 1)).otherwise(view)
+    data = content.cast("binary")
+    return latin1.view(F.when(F.endswith(data, F.lit(b"\n")), F.substring(data, F.lit(1), F.octet_length(data) - 1)).otherwise(data))
 
 
-def lines(df: DataFrame, content: str = "content") -> DataFrame:
+def lines(df: DataFrame, content: str = "content", having: Column | None = None) -> DataFrame:
     """One row per line in place of the content: line_no from 1, and ``line`` in the Latin-1 view.
 
     Empty and null contents have no lines.  Only line feeds end lines.  No shuffle; the rows of a
-    file are made in its own task.
+    file are made in its own task.  Only contents for which ``having`` holds are split.  It isn't a
+    filter, since the optimizer would move that below a repartition of the contents, to run in the
+    few tasks that read them.
     """
     keep = [c for c in df.columns if c not in (content, "line_no", "line")]
     some = df.where(F.octet_length(F.col(content).cast("binary")) > 0)
-    split = some.select(*keep, F.posexplode(F.split(_body(F.col(content)), "\n")).alias("__pos", "line"))
+    split = F.split(_body(F.col(content)), "\n")
+    split = some.select(*keep, F.posexplode(split if having is None else F.when(having, split)).alias("__pos", "line"))
     return split.select(*keep, (F.col("__pos") + 1).cast("long").alias("line_no"), "line")
 
 
@@ -62,10 +65,11 @@ def grep(df: DataFrame, spec: SearchSpec, content: str = "content") -> DataFrame
         df = df.where(F.contains(F.col(content).cast("binary"), F.lit(spec.needle.encode("utf-8", "surrogateescape"))))
     engine = spec.chosen_engine()
     if engine == "jvm":
+        having = None
         if spec.plain is None and translated.java_file is not None:
             # Stops at a file's first match, and spares the others from being split.
-            df = df.where(F.rlike(latin1.view(content), F.lit(translated.java_file)))
-        return _of_lines(lines(df, content), spec, keep)
+            having = F.rlike(latin1.view(content), F.lit(translated.java_file))
+        return _of_lines(lines(df, content, having), spec, keep)
     return _python(df, content, keep, translated.whole if engine == "whole" else translated.python, engine == "whole")
 
 
@@ -74,6 +78,8 @@ def _of_lines(found: DataFrame, spec: SearchSpec, keep: list[str]) -> DataFrame:
     if spec.plain is not None:
         text = F.lit(latin1.literal(spec.plain))
         return found.where(F.contains(line, text)).select(*_outputs(keep, line, F.instr(line, text), text))
+    if spec.needle:
+        found = found.where(F.contains(line, F.lit(latin1.literal(spec.needle))))
     rx = F.lit(translated.java)
     return found.where(F.rlike(line, rx)).select(*_outputs(keep, line, F.regexp_instr(line, rx), F.regexp_extract(line, translated.java, 0)))
 

@@ -113,3 +113,11 @@ def test_colours(spark):
     hit = "a\x1b[30;43;1m\x1b[Kbc" + end + "d"
     assert [r["value"] for r in render(grep(df, SearchSpec("bc")), Output(colour=True)).collect()] == [f"{name}:{number % n}:{hit}" for n in (1, 3)]
     assert [r["value"] for r in render(grep(df, SearchSpec("bc")), Output(colour=True, heading=True)).collect()] == [f"{name}\n{number % 1}:{hit}\n{number % 3}:{hit}"]
+
+
+def test_no_regex_below_a_repartition(spark):
+    files = spark.createDataFrame([("a", "one\ntwo one\n"), ("b", "three"), ("c", "tw\no")], "path string, content string").repartition(3)
+    found = grep(files, SearchSpec("tw[a-z]", "sensitive"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.split("Repartition")[0] and "RLIKE" not in plan.split("Repartition")[1]
+    assert [(r.path, r.line_no, r.match) for r in found.collect()] == [("a", 2, "two")]
